@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scenespark.llm.bpe import bpe_digest
+from scenespark.llm.decontam import contamination
+from scenespark.llm.langid import language_query
+from scenespark.llm.toxicity import toxicity_query
 from scenespark.session import table
 
 #: The vocabulary file of op10 and of the pipeline's last stage; a parameter, never copied here.
@@ -19,12 +22,27 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(spark, table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op4_decontamination": op4_decontamination,
+        "op6_language": op6_language,
         "op10_bpe": op10_bpe,
     }
 
