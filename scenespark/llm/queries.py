@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from scenespark.llm.bpe import bpe_digest
 from scenespark.llm.decontam import contamination
 from scenespark.llm.langid import language_query
+from scenespark.llm.pii import pii_query
+from scenespark.llm.simhash import near_duplicates
 from scenespark.llm.toxicity import toxicity_query
 from scenespark.session import table
 
@@ -26,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +40,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_query(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(spark, table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -41,8 +51,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_simhash": op2_simhash,
         "op4_decontamination": op4_decontamination,
         "op6_language": op6_language,
+        "op7_pii": op7_pii,
         "op10_bpe": op10_bpe,
     }
 
