@@ -30,7 +30,7 @@ from scenespark.session import prepare
 WORD = re.compile(r"\w+")
 
 #: Bounds of the fitting sample: documents of each label for the statistics of words, and for the chain.
-SAMPLE_DOCS, CHAIN_DOCS = {0: 5000, 1: 2000}, 400
+SAMPLE_DOCS, CHAIN_DOCS = {0: 2500, 1: 1200}, 300
 #: A trigger occurs in so many different toxic documents at least, and so many times as often as elsewhere.
 LEAST_DOCS, LEAST_RATIO = 6, 25.0
 PREFIXES = (3, 4, 5, 6)
@@ -79,9 +79,9 @@ class Model:
 
 def fit(sample: list[tuple[int, str]]) -> Model | None:
     """A model from (label, text) rows; none if a label is missing."""
-    seen, docs = set(), []
+    seen, docs, pool = set(), [], {}
     for y, text in sample:  # near copies of a toxic document would vouch for its rare words
-        words = WORD.findall(text.lower())
+        words = [pool.setdefault(w, w) for w in WORD.findall(text.lower())]
         mark = y and min(map(hash_word, set(words)), default=0)
         if words and not (y and mark in seen):
             seen.add(mark)
@@ -90,10 +90,16 @@ def fit(sample: list[tuple[int, str]]) -> Model | None:
     if not all(n):
         return None
     counts: tuple[dict, dict] = ({}, {})
-    for y, words in docs:
-        c = counts[y]
-        for f in {f for w in set(words) for f in _claims(w)}:
-            c[f] = c.get(f, 0) + 1
+    for kind in (1, 0):  # other documents are counted for what occurs in several toxic ones
+        c = counts[kind]
+        for y, words in docs:
+            if y == kind:
+                for f in {f for w in set(words) for f in _claims(w)}:
+                    if kind or f in counts[1]:
+                        c[f] = c.get(f, 0) + 1
+        if kind:
+            for f in [f for f, k in c.items() if k < 2]:
+                del c[f]
     triggers = {f for f, k in counts[1].items() if k >= min(LEAST_DOCS, max(2, n[1] // 10)) and (k + 0.5) / (n[1] + 1) >= LEAST_RATIO * (counts[0].get(f, 0) + 1.5) / (n[0] + 1)}
     if not triggers:  # small samples: the words that speak most for a toxic document
         ranked = sorted(counts[1], key=lambda f: ((counts[0].get(f, 0) + 0.5) / (n[0] + 1) / (counts[1][f] + 0.5), -counts[1][f], f))
@@ -110,8 +116,7 @@ def fit(sample: list[tuple[int, str]]) -> Model | None:
     gold = np.array([int(y and (known[w] if w in known else known.setdefault(w, not triggers.isdisjoint(_claims(w))))) for y, ws in chosen for w in ws])
     chain = crf.train(line, gold, first, [0, 1], features, steps=30)
     model = Model(chain, (0.0, 0.0, 0.0))
-    _, probs = model.tag([" ".join(ws) for _, ws in docs])
-    x = np.array([[p.max(), np.log1p(p[p >= 0.5].sum()), 1.0] for p in probs])
+    x = np.array([[p.max(), np.log1p(p[p >= 0.5].sum()), 1.0] for k in range(0, len(docs), 200) for p in model.tag([" ".join(ws) for _, ws in docs[k : k + 200]])[1]])
     y = np.array([y for y, _ in docs], float)
     share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     w = np.zeros(3)
