@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("scenespark.queries.metrics", "scenespark.queries.mesh")
 
 
 def _all(name: str) -> dict:
