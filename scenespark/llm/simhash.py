@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ from scenespark.session import cut, prepare
 
 SHINGLE, RADIUS = 4, 4
 #: Fingerprints that may share a part's value before they are linked by midpoints.
-BUCKET = 32
+BUCKET = 2048
 #: Fingerprints sampled to group bits and to estimate candidate counts; results do not depend on it.
 SAMPLE = 4000
 #: The cost of a probe in candidates.
@@ -110,7 +110,7 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 def plan(sample: np.ndarray, n: int, radius: int = RADIUS, choices: tuple[int, ...] = PARTS) -> list[tuple[int, list[int]]]:
     """Parts as (mask, flips): a fingerprint probes its part's value xor each flip. Cheapest of the choices."""
     found = None
-    a = sample[: min(len(sample), 1000)]
+    a = sample[: min(len(sample), 250)]
     for parts in choices:
         groups = group_bits(sample, parts)
         total = radius - parts + 1
@@ -141,6 +141,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _flipped(x: Column, bits: int, low: Column) -> Column:
+    """array<long>: x with so many bits flipped, none of them below low."""
+    if not bits:
+        return F.array(x)
+    one = F.lit(1).cast("long")
+    return F.flatten(F.transform(F.sequence(low, F.lit(64 - bits)), lambda i: _flipped(x.bitwiseXOR(F.call_function("shiftleft", one, i)), bits - 1, i + 1)))
+
+
 def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """a, b (fp values): links that connect all fingerprints within the radius, as their transitive closure.
 
@@ -164,9 +172,8 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, bucket: int
     calm = index.join(known, ["part", "key"], "left_anti")
     pairs = probes.alias("p").join(calm.alias("i"), (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & near).select("a", "b")
     met = probes.join(known, ["part", "key"], "left_semi").select(F.col("a").alias("fp")).distinct()
-    half = radius // 2
-    around = [_signed(sum(1 << b for b in c)) for r in range(half + 1) for c in itertools.combinations(range(64), r)]
-    points = met.select("fp", F.explode(F.array(*map(F.lit, around))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    around = [_flipped(F.col("fp"), r, F.lit(0)) for r in range(radius // 2 + 1)]
+    points = met.select("fp", F.explode(F.concat(*around)).alias("point"))
     hubs = points.groupBy("point").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     starred = hubs.join(points, "point").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.unionByName(starred)
