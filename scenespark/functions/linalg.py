@@ -47,15 +47,22 @@ def scaling(x, y, z) -> Column:
     return matrix(x, 0, 0, 0, 0, y, 0, 0, 0, 0, z, 0, 0, 0, 0, 1)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def multiply(a: Column, b: Column) -> Column:
-    """a * b. The rows of a and the columns of b meet in one pass over 16 positions."""
-    at = F.sequence(F.lit(0), F.lit(15))
+    """a * b."""
 
-    def entry(k: Column) -> Column:
-        row, col = (k - k % 4).cast("int"), (k % 4).cast("int")
-        return dot([a[row + i] for i in range(4)], [b[F.lit(4 * i) + col] for i in range(4)])
+    def entries(s: Column) -> Column:
+        def entry(k: Column) -> Column:
+            row, col = (k - k % 4).cast("int"), (k % 4).cast("int")
+            return dot([s["a"][row + i] for i in range(4)], [s["b"][F.lit(4 * i) + col] for i in range(4)])
 
-    return F.transform(at, entry)
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), entry)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), entries)
 
 
 def apply(v, m: Column) -> tuple[Column, Column, Column]:
@@ -63,20 +70,27 @@ def apply(v, m: Column) -> tuple[Column, Column, Column]:
     return tuple(v[0] * m[j] + v[1] * m[4 + j] + v[2] * m[8 + j] + m[12 + j] for j in range(3))
 
 
-def quaternion(degrees, axis: int) -> tuple[Column, ...]:
-    """(x, y, z, w) of a rotation about a coordinate axis."""
+def quaternion(degrees, axis: int) -> Column:
+    """A rotation about a coordinate axis as array(x, y, z, w)."""
     half = F.radians(degrees) / 2
-    return tuple(F.sin(half) if i == axis else F.lit(0.0) for i in range(3)) + (F.cos(half),)
+    return F.array(*[F.sin(half) if i == axis else F.lit(0.0) for i in range(3)], F.cos(half))
 
 
-def then(p, q) -> tuple[Column, ...]:
+def then(p: Column, q: Column) -> Column:
     """The rotation p followed by q (Hamilton's product q p)."""
-    x1, y1, z1, w1 = q
-    x2, y2, z2, w2 = p
-    return (w1 * x2 + x1 * w2 + y1 * z2 - z1 * y2, w1 * y2 - x1 * z2 + y1 * w2 + z1 * x2, w1 * z2 + x1 * y2 - y1 * x2 + z1 * w2, w1 * w2 - x1 * x2 - y1 * y2 - z1 * z2)
 
+    def product(s: Column) -> Column:
+        (x1, y1, z1, w1), (x2, y2, z2, w2) = ([s[n][k] for k in range(4)] for n in "qp")
+        return F.array(w1 * x2 + x1 * w2 + y1 * z2 - z1 * y2, w1 * y2 - x1 * z2 + y1 * w2 + z1 * x2, w1 * z2 + x1 * y2 - y1 * x2 + z1 * w2, w1 * w2 - x1 * x2 - y1 * y2 - z1 * z2)
+
+    return let(F.struct(p.alias("p"), q.alias("q")), product)
 
-def rotation(q) -> Column:
+
+def rotation(q: Column) -> Column:
     """The matrix of a unit quaternion."""
-    x, y, z, w = q
-    return matrix(1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w), 0, 2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w), 0, 2 * (x * z + y * w), 2 * (y * z - x * w), 1 - 2 * (x * x + y * y), 0, 0, 0, 0, 1)
+
+    def entries(q: Column) -> Column:
+        x, y, z, w = (q[k] for k in range(4))
+        return matrix(1 - 2 * (y * y + z * z), 2 * (x * y + z * w), 2 * (x * z - y * w), 0, 2 * (x * y - z * w), 1 - 2 * (x * x + z * z), 2 * (y * z + x * w), 0, 2 * (x * z + y * w), 2 * (y * z - x * w), 1 - 2 * (x * x + y * y), 0, 0, 0, 0, 1)
+
+    return let(q, entries)
