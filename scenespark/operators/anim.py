@@ -51,4 +51,4 @@ def static_runs(elements: DataFrame) -> DataFrame:
 
 
 def seconds(ts: Column, origin: str = "2024-01-01") -> Column:
-    return (F.unix_micros(ts) - F.unix_micros(F.lit(origin).cast("timestamp"))) / 1e6
+    return (F.unix_micros(ts.cast("timestamp")) - F.unix_micros(F.lit(origin).cast("timestamp"))) / 1e6
