@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = tuple(f"scenespark.queries.{m}" for m in ("metrics", "mesh", "scene", "tiling", "anim", "materials"))
+MODULES: tuple[str, ...] = tuple(f"scenespark.queries.{m}" for m in ("metrics", "mesh", "scene", "tiling", "anim", "materials", "buffers"))
 
 
 def _all(name: str) -> dict:
