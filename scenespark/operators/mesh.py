@@ -21,10 +21,10 @@ def _upto(n: Column, step: int) -> Column:
 
 
 def triangulate(primitives: DataFrame) -> DataFrame:
-    """prim_id, ti, i0, i1, i2 from (prim_id, mode, n): strips swap every second triangle's first two
+    """prim_id, ti, i0, i1, i2 from (prim_id, mode, n): strips swap every second triangle's last two
     corners, quads give two triangles, fans and polygons share corner 0; points and lines give none."""
     n = F.col("n")
-    strip = F.transform(_upto(n - 2, 1), lambda i: F.when(i % 2 == 0, _tri(i, i + 1, i + 2)).otherwise(_tri(i + 1, i, i + 2)))
+    strip = F.transform(_upto(n - 2, 1), lambda i: F.when(i % 2 == 0, _tri(i, i + 1, i + 2)).otherwise(_tri(i, i + 2, i + 1)))
     fan = F.transform(_upto(n - 2, 1), lambda i: _tri(F.lit(0).cast("bigint"), i + 1, i + 2))
     plain = F.transform(_upto(n - 2, 3), lambda i: _tri(i, i + 1, i + 2))
     quads = F.flatten(F.transform(_upto(n - 3, 4), lambda i: F.array(_tri(i, i + 1, i + 2), _tri(i, i + 2, i + 3))))

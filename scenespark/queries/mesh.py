@@ -23,7 +23,7 @@ _G = "SELECT unnest(range(0, greatest(n, 0))) AS i, prim_id, n, mode FROM p"
 _TRIANGULATE_SQL = f""", p AS (SELECT prim_id, n, {_MODE_SQL} AS mode FROM sc_counts), g AS ({_G}),
 t AS (
  SELECT prim_id, i // 3 AS ti, i AS i0, i + 1 AS i1, i + 2 AS i2 FROM g WHERE mode = 'TRIANGLES' AND i % 3 = 0 AND i + 2 < n
- UNION ALL SELECT prim_id, i, CASE WHEN i % 2 = 0 THEN i ELSE i + 1 END, CASE WHEN i % 2 = 0 THEN i + 1 ELSE i END, i + 2 FROM g WHERE mode = 'TRIANGLE_STRIP' AND i + 2 < n
+ UNION ALL SELECT prim_id, i, i, i + 1 + i % 2, i + 2 - i % 2 FROM g WHERE mode = 'TRIANGLE_STRIP' AND i + 2 < n
  UNION ALL SELECT prim_id, i, 0, i + 1, i + 2 FROM g WHERE mode = 'TRIANGLE_FAN' AND i + 2 < n
  UNION ALL SELECT prim_id, i // 2, i, i + 1, i + 2 FROM g WHERE mode = 'QUADS' AND i % 4 = 0 AND i + 3 < n
  UNION ALL SELECT prim_id, i // 2 + 1, i, i + 2, i + 3 FROM g WHERE mode = 'QUADS' AND i % 4 = 0 AND i + 3 < n
@@ -34,7 +34,7 @@ R.add("p9_triangulate", "sc_counts", lambda c: m.triangulate(with_mode(c)), _TRI
 R.add("s3_mesh_triangles", "sc_counts sc_geodes", lambda c, g: m.triangulate(with_mode(c)).join(g, F.col("prim_id") == F.col("geode_id")).groupBy("material_id").agg(F.count("*").alias("triangles"), F.sum(F.col("i0") + F.col("i1") + F.col("i2")).alias("index_sum")), _TRIANGULATE_SQL.replace("SELECT prim_id, ti::BIGINT AS ti, i0::BIGINT AS i0, i1::BIGINT AS i1, i2::BIGINT AS i2 FROM t", "SELECT material_id, count(*) AS triangles, sum(i0 + i1 + i2)::BIGINT AS index_sum FROM t JOIN sc_geodes ON prim_id = geode_id GROUP BY material_id"))
 R.add("p22_triangles_only", "sc_counts", lambda c: with_mode(c).filter("mode = 'TRIANGLES'").select("prim_id", "n"), "SELECT prim_id, n FROM sc_counts WHERE prim_id % 6 = 0")
 R.add("p28_unsupported_modes", "sc_counts", lambda c: with_mode(c).filter(F.col("mode").isin("QUADS", "QUAD_STRIP", "PATCHES")).groupBy("mode").count(), f", p AS (SELECT {_MODE_SQL} AS mode FROM sc_counts) SELECT mode, count(*) AS count FROM p WHERE mode LIKE 'QUAD%' GROUP BY mode")
-R.add("w12_strip_winding", "sc_counts", lambda c: m.triangulate(c.withColumn("mode", F.lit("TRIANGLE_STRIP"))), ", g AS (SELECT prim_id, n, unnest(range(0, n)) AS i FROM sc_counts) SELECT prim_id, i::BIGINT AS ti, (i + i % 2)::BIGINT AS i0, (i + 1 - i % 2)::BIGINT AS i1, (i + 2)::BIGINT AS i2 FROM g WHERE i + 2 < n")
+R.add("w12_strip_winding", "sc_counts", lambda c: m.triangulate(c.withColumn("mode", F.lit("TRIANGLE_STRIP"))), ", g AS (SELECT prim_id, n, unnest(range(0, n)) AS i FROM sc_counts) SELECT prim_id, i::BIGINT AS ti, i::BIGINT AS i0, (i + 1 + i % 2)::BIGINT AS i1, (i + 2 - i % 2)::BIGINT AS i2 FROM g WHERE i + 2 < n")
 
 _POINTS = "x y z".split()
 
