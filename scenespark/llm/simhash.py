@@ -192,6 +192,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, r
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """docs with the document of the smallest doc_id of each component; all columns of docs."""
-    keep = near_duplicates(spark, docs, size, radius, bucket).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with the document of the smallest doc_id of each component; all columns of docs.
+
+    Of rows that repeat a doc_id one stays. Documents with a null id cannot be told apart and all stay."""
+    named = docs.filter("doc_id IS NOT NULL")
+    keep = near_duplicates(spark, named, size, radius, bucket).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
