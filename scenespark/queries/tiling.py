@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scenespark.operators import lod
 from scenespark.operators import metrics as m
 from scenespark.operators import spatial as sp
+from scenespark.plans import tiler
 from scenespark.queries import Registry
 from scenespark.queries.metrics import BOX_SQL
 
@@ -126,3 +127,11 @@ R.add("a8_tileset_error", "sc_geodes", lambda g: g.select("geode_id", F.round(lo
 R.add("a9_weighted_scene_error", "sc_geodes", lambda g: g.agg(F.round(F.sum(lod.error_of_pixels(F.lit(25.0), F.col("radius")) * F.col("size")) / F.sum("size"), 6).alias("error")), f"SELECT round(sum({_GE_PX.format(den=_DEN, r='radius', px='25')} * size) / sum(size), 6) AS error FROM sc_geodes")
 R.add("t11_bounding_volumes", "sc_vertices", lambda v: m.boxes(v).select("prim_id", lod.box12().alias("b"), lod.sphere4().alias("s")).select("prim_id", *[(F.col("b")[k] + 0.0).alias(f"b{k}") for k in (0, 1, 2, 3, 7, 11)], F.round(F.col("s")[3], 6).alias("radius")), f", b AS ({BOX_SQL}) SELECT prim_id, (min_x + max_x) / 2 AS b0, 0.0 - (min_z + max_z) / 2 AS b1, (min_y + max_y) / 2 AS b2, (max_x - min_x) / 2 AS b3, 0.0 - (max_z - min_z) / 2 AS b7, (max_y - min_y) / 2 AS b11, round(sqrt((max_x - min_x) ** 2 + (max_y - min_y) ** 2 + (max_z - min_z) ** 2) / 2, 6) AS radius FROM b")
 R.add("t12_uris", "sc_geodes", lambda g: g.select("geode_id", lod.uri(F.when(F.col("geode_id") % 4 == 0, "i3dm").otherwise("b3dm"), F.col("size"), F.col("node_id"), F.col("material_id"), F.col("geode_id"), F.col("mode_no") - 1).alias("uri")), "SELECT geode_id, CASE WHEN mode_no = 0 THEN NULL WHEN geode_id % 4 = 0 THEN 'InstanceTiles/Tile_L' || (mode_no - 1) || '_' || geode_id || '.i3dm' ELSE size || '/Tile_L' || (mode_no - 1) || '_' || node_id || '_' || material_id || '_' || geode_id || '.b3dm' END AS uri FROM sc_geodes")
+
+
+def _built(g):
+    return tiler.build(objects(g), ("class", "size", "brand"), tiler.Options(levels=4, max_triangles=20_000))
+
+
+R.add("plan_tileset_tiles", "sc_geodes", lambda g: _built(g)["tiles"].select("tile_id", "level", "members", "triangles", "geometric_error", "uri"))
+R.add("plan_tileset_root", "sc_geodes", lambda g: tiler.tileset(_built(g)["tiles"]))
