@@ -62,3 +62,18 @@ def scene_buffers(vertices: DataFrame) -> DataFrame:
     counts = vertices.groupBy("prim_id").agg(F.count("*").alias("count"))
     views = counts.select("prim_id", "count", F.explode(attrs).alias("a")).select("prim_id", "a.slot", "a.attribute", "count", (F.col("count") * F.col("a.size")).alias("bytes"))
     return aligned_offsets(views, ("prim_id",), "slot", "bytes")
+
+
+def oct32p(n) -> tuple[Column, Column]:
+    """A unit normal as two unsigned 16-bit numbers, cut off; the zero vector maps to the middle."""
+    x, y, z = n
+    size = F.abs(x) + F.abs(y) + F.abs(z)
+    px, py = (F.when(size > 0, c / size).otherwise(0.0) for c in (x, y))
+    sign = lambda v: F.when(v >= 0, 1.0).otherwise(-1.0)
+    u, v = F.when(z < 0, (1 - F.abs(py)) * sign(px)).otherwise(px), F.when(z < 0, (1 - F.abs(px)) * sign(py)).otherwise(py)
+    return tuple(F.floor((w * 0.5 + 0.5) * 65535).cast("long") for w in (u, v))
+
+
+def little_endian(n: Column, size: int = 4) -> Column:
+    """A non-negative integer as bytes, the lowest first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)]))

@@ -93,3 +93,9 @@ R.add("k2_writer_options", "sc_geodes", lambda g: g.select("geode_id", F.when((F
 R.add("f13_surface_area", "sc_vertices", lambda v: m.boxes(v).select("prim_id", F.round(2 * (m.extent("x") * m.extent("y") + m.extent("y") * m.extent("z") + m.extent("z") * m.extent("x")) + 1e-9, 6).alias("area")), f", b AS ({BOX_SQL}) SELECT prim_id, round(2 * ((max_x - min_x) * (max_y - min_y) + (max_y - min_y) * (max_z - min_z) + (max_z - min_z) * (max_x - min_x)) + 1e-9, 6) AS area FROM b")
 R.add("f31_matrix_key", "sc_nodes", lambda n: n.groupBy("tx", "ty", "tz", "s", "q").agg(F.count("*").alias("nodes")), "SELECT tx, ty, tz, s, q, count(*) AS nodes FROM sc_nodes GROUP BY 1, 2, 3, 4, 5")
 R.add("w13_serpentine_order", "sc_geodes", lambda g: g.withColumn("row", F.floor(F.col("cy") / 10)).withColumn("along", F.when(F.col("row") % 2 == 0, F.col("cx")).otherwise(-F.col("cx"))).select("geode_id", F.row_number().over(Window.partitionBy("row").orderBy("along", "geode_id")).alias("place"), F.col("row")), "SELECT geode_id, (row_number() OVER (PARTITION BY floor(cy / 10) ORDER BY CASE WHEN floor(cy / 10) % 2 = 0 THEN cx ELSE -cx END, geode_id))::INT AS place, floor(cy / 10)::BIGINT AS row FROM sc_geodes")
+R.add("f9_nearest_pow2", "sc_counts", lambda c: c.select("prim_id", F.pow(F.lit(2.0), F.floor(F.log2("n") + 0.5)).cast("long").alias("nearest"), F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long").alias("below")), "SELECT prim_id, (2 ** floor(log2(n) + 0.5))::BIGINT AS nearest, (2 ** floor(log2(n)))::BIGINT AS below FROM sc_counts")
+R.add("f10_clamp", "sc_vertices", lambda v: v.select("prim_id", "vi", F.least(F.greatest(F.col("y"), F.lit(25.0)), F.lit(75.0)).alias("y")), "SELECT prim_id, vi, CASE WHEN y < 25 THEN 25 WHEN y > 75 THEN 75 ELSE y END::DOUBLE AS y FROM sc_vertices")
+R.add("f11_math", "sc_vertices", lambda v: v.select("prim_id", "vi", *[F.round(e + 1e-9, 6).alias(n) for n, e in (("log2", F.log2("x")), ("tan", F.tan(F.col("u") / 2)), ("atan", F.atan("y")), ("sqrt", F.sqrt("x")), ("pow", F.pow("u", F.lit(3.0))))]), "SELECT prim_id, vi, round(log2(x) + 1e-9, 6) AS log2, round(tan(u / 2) + 1e-9, 6) AS tan, round(atan(y) + 1e-9, 6) AS atan, round(sqrt(x) + 1e-9, 6) AS sqrt, round(u * u * u + 1e-9, 6) AS pow FROM sc_vertices")
+R.add("f19_oct32p", "sc_vertices", lambda v: v.select("prim_id", "vi", *[c.alias(n) for c, n in zip(gl.oct32p((F.col("x"), F.col("y"), 4 - F.col("z"))), ("ou", "ov"))]), _OCT + " SELECT prim_id, vi, floor((u * 0.5 + 0.5) * 65535)::BIGINT AS ou, floor((v * 0.5 + 0.5) * 65535)::BIGINT AS ov FROM p")
+R.add("f37_little_endian", "sc_counts", lambda c: c.select("prim_id", F.hex(gl.little_endian(F.col("n") * 1000)).alias("bytes")), ", h AS (SELECT prim_id, lpad(upper(to_hex(n * 1000)), 8, '0') AS h FROM sc_counts) SELECT prim_id, h[7:8] || h[5:6] || h[3:4] || h[1:2] AS bytes FROM h")
+R.add("f39_deep_equality", "sc_geodes", lambda g: g.groupBy(F.xxhash64(F.struct("class", "size", F.struct("brand", "mode_no"))).alias("h")).agg(F.min("geode_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n"), "SELECT min(geode_id) AS first_id, count(*) AS n FROM sc_geodes GROUP BY class, size, brand, mode_no HAVING count(*) > 1")
