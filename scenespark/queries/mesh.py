@@ -66,7 +66,7 @@ R.add(
     lambda v: m.fan_of_polygons(v.groupBy(F.col("prim_id").alias("polygon")).agg(F.array_sort(F.collect_list("vi")).alias("corners"))),
     ", n AS (SELECT prim_id, count(*) AS n FROM sc_vertices GROUP BY prim_id) SELECT prim_id AS polygon, vi AS ti, 0::BIGINT AS i0, vi + 1 AS i1, vi + 2 AS i2 FROM sc_vertices JOIN n USING (prim_id) WHERE vi + 2 < n",
 )
-R.add("p11_ear_clipping", "sc_vertices", lambda v: m.ear_clip(v.filter("vi < 8").groupBy(F.col("prim_id").alias("polygon")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vi", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("xy"))))
+R.add("p11_ear_clipping", "sc_vertices", lambda v: m.ear_clip(v.groupBy(F.col("prim_id").alias("polygon")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vi", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("xy"))))
 R.add("p12_degenerate", "sc_indices", lambda i: m.without_degenerate(indexed(i)), f", t AS ({INDEX_SQL}) SELECT * FROM t WHERE i0 <> i1 AND i1 <> i2 AND i0 <> i2")
 R.add("j11_used_vertices", "sc_vertices sc_indices", lambda v, i: m.used_vertices(v, m.without_degenerate(indexed(i))).groupBy("prim_id").agg(F.count("*").alias("used"), F.sum("vi").alias("vi_sum")), f", t AS ({INDEX_SQL}), k AS (SELECT * FROM t WHERE i0 <> i1 AND i1 <> i2 AND i0 <> i2), u AS (SELECT prim_id, i0 AS vi FROM k UNION SELECT prim_id, i1 FROM k UNION SELECT prim_id, i2 FROM k) SELECT prim_id, count(*) AS used, sum(vi)::BIGINT AS vi_sum FROM u GROUP BY prim_id")
 R.add("j12_unused_vertices", "sc_vertices sc_indices", lambda v, i: v.join(i.select("prim_id", F.col("idx").alias("vi")), ["prim_id", "vi"], "left_anti").select("prim_id", "vi"), "SELECT prim_id, vi FROM sc_vertices v WHERE NOT EXISTS (SELECT 1 FROM sc_indices i WHERE i.prim_id = v.prim_id AND i.idx = v.vi)")
