@@ -84,7 +84,7 @@ R.add("k5_tileset_json", "sc_nodes", lambda n: ct.tileset_tree(_tree(n)))
 R.add("s14_tileset_scan", "sc_nodes", lambda n: ct.read_tileset(ct.tileset_tree(_tree(n))), "SELECT node_id AS tile_id, parent_id, (node_id % 9)::DOUBLE AS geometric_error FROM sc_nodes")
 R.add("f34_json_get", "sc_geodes", lambda g: ct.tileset_json(_rec(g)).select("tile_id", F.coalesce(F.get_json_object("json", "$.content.uri"), F.lit("")).alias("uri"), F.coalesce(F.get_json_object("json", "$.missing").cast("int"), F.lit(-1)).alias("missing")), "SELECT geode_id AS tile_id, CASE WHEN mode_no > 0 THEN 't' || geode_id ELSE '' END AS uri, -1 AS missing FROM sc_geodes")
 R.add("f35_feature_table", "sc_counts", lambda c: c.select("prim_id", F.to_json(F.struct(F.col("n").alias("BATCH_LENGTH"))).alias("json")), """SELECT prim_id, '{"BATCH_LENGTH":' || n || '}' AS json FROM sc_counts""")
-_img = lambda i: i.filter("w <= 256 AND h <= 256").select(F.col("format").cast("long").alias("atlas_key"), "image_id", "w", "h")
+_img = lambda i: i.select(F.col("format").cast("long").alias("atlas_key"), "image_id", "w", "h")
 R.add("o5_atlas_fill", "sc_images", lambda i: pack.greedy_fill(_img(i), ("atlas_key",), 256 * 256))
 R.add("o6_pack", "sc_images", lambda i: pack.skyline_pack(_img(i), 512, 512))
 R.add("k15_atlas", "sc_images", lambda i: pack.atlas_json(pack.skyline_pack(_img(i), 512, 512)).select("atlas_key", "atlas", F.length("json").alias("bytes")))
