@@ -1,5 +1,8 @@
 """A linear-chain conditional random field over sparse word features, in numpy.
 
+A token's potentials come from its own features and, with ``context``, from those of the words before
+and after it in its chain.
+
 Training is by gradient ascent on the log-likelihood of labelled sequences; inference is exact
 forward-backward. Many chains are processed at once: the tokens of all chains lie behind each
 other, a chain's first token restarts the recursion, and the recursion over the whole line is split
@@ -87,13 +90,16 @@ def marginals(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.
 
 
 class Chain:
-    """A trained model: weights of features, start and transition potentials. Pickles small."""
+    """A trained model: weights of features, start and transition potentials. Pickles small.
+
+    With k labels, a feature has k weights for its own token or, with context, 3k: for its own token, the
+    one after it and the one before it."""
 
     def __init__(self, labels: list, index: dict[str, int], weights: np.ndarray, start: np.ndarray, trans: np.ndarray):
         self.labels, self.index, self.weights, self.start, self.trans = labels, index, weights, start, trans
 
     def emissions(self, words: list[str], features: Callable[[str], Iterable[str]]) -> np.ndarray:
-        """Log-potentials [len(words), k]; features that training did not see count nothing."""
+        """Log-potentials of each word, [len(words), k or 3k]; features that training did not see count nothing."""
         get, flat, ends = self.index.get, [], []
         for w in words:
             flat += [i for i in map(get, features(w)) if i is not None]
@@ -105,16 +111,27 @@ class Chain:
         return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
 
+def in_context(rows: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Potentials [n, k] of tokens from those of their words [n, k or 3k]: what the words before and after them say is added."""
+    if rows.shape[1] == k:
+        return rows
+    out = rows[:, :k].copy()
+    inside = ~first[1:, None]
+    out[1:] += np.where(inside, rows[:-1, k : 2 * k], 0)
+    out[:-1] += np.where(inside, rows[1:, 2 * k :], 0)
+    return out
+
+
 class Memory:
-    """Emissions of the words met so far, by row; bounded."""
+    """Potentials of the words met so far, by row; bounded."""
 
     def __init__(self, model: Chain, features: Callable[[str], Iterable[str]], limit: int = 600_000):
         self.model, self.features, self.limit = model, features, limit
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.labels)), np.float32)
+        self.table = np.zeros((1024, model.weights.shape[1]), np.float32)
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """Emissions [len(words), k] of a batch's words."""
+    def look_up(self, words: list[str], first: np.ndarray) -> np.ndarray:
+        """Log-potentials [len(words), k] of a batch's tokens; first: whether a token starts a chain."""
         rows = self.rows
         new = [w for w in set(words) if w not in rows]
         if len(rows) + len(new) > self.limit:
@@ -126,10 +143,11 @@ class Memory:
                 self.table = np.concatenate([self.table[:at], np.zeros((need, self.table.shape[1]), np.float32)])
             self.table[at:need] = self.model.emissions(new, self.features)
             rows.update(zip(new, range(at, need), strict=True))
-        return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].astype(np.float64)
+        found = self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].astype(np.float64)
+        return in_context(found, first, len(self.model.labels))
 
 
-def train(words: list[str], gold: np.ndarray, first: np.ndarray, labels: list, features: Callable[[str], Iterable[str]], least: int = 2, steps: int = 40, rate: float = 0.3, l2: float = 1e-6, weight: np.ndarray | None = None) -> Chain:
+def train(words: list[str], gold: np.ndarray, first: np.ndarray, labels: list, features: Callable[[str], Iterable[str]], least: int = 2, steps: int = 40, rate: float = 0.3, l2: float = 1e-6, weight: np.ndarray | None = None, context: bool = False) -> Chain:
     """Fits a chain to tokens whose labels (numbers into ``labels``) are known.
 
     least: a feature must occur in so many different words. weight: of each label's tokens."""
@@ -151,7 +169,9 @@ def train(words: list[str], gold: np.ndarray, first: np.ndarray, labels: list, f
                 owner.append(w)
     feats_a, owner_a = np.array(feats, np.int64), np.array(owner, np.int64)
     nf, nw, n = max(1, len(index)), len(seen), max(1, len(words))
-    w_, start, trans = np.zeros((nf, k)), np.zeros(k), np.zeros((k, k))
+    wide = 3 * k if context else k
+    w_, start, trans = np.zeros((nf, wide)), np.zeros(k), np.zeros((k, k))
+    inner = np.flatnonzero(~first[1:]) if len(words) else np.zeros(0, np.int64)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w_, start, trans)]
     truth = np.zeros((len(words), k))
     if len(words):
@@ -159,17 +179,17 @@ def train(words: list[str], gold: np.ndarray, first: np.ndarray, labels: list, f
     seen_first = truth[first].sum(0) if len(words) else np.zeros(k)
     seen_pairs = np.zeros((k, k))
     if len(words) > 1:
-        inside = ~first[1:]
-        np.add.at(seen_pairs, (gold[:-1][inside], gold[1:][inside]), 1)
+        np.add.at(seen_pairs, (gold[inner], gold[inner + 1]), 1)
     scale = np.maximum(1.0, np.bincount(feats_a, weights=often[owner_a], minlength=nf))[:, None] if len(feats) else np.ones((nf, 1))
     for step in range(1, steps + 1):
-        word_scores = np.stack([np.bincount(owner_a, weights=w_[feats_a, j], minlength=nw) for j in range(k)], 1) if len(feats) else np.zeros((nw, k))
-        post, pairs = marginals(word_scores[ids], first, start, trans) if len(words) else (truth, seen_pairs)
+        word_scores = np.stack([np.bincount(owner_a, weights=w_[feats_a, j], minlength=nw) for j in range(wide)], 1) if len(feats) else np.zeros((nw, wide))
+        post, pairs = marginals(in_context(word_scores[ids], first, k), first, start, trans) if len(words) else (truth, seen_pairs)
         rest = truth - post
         if weight is not None:
             rest = rest * weight[gold][:, None]
-        by_w = np.stack([np.bincount(ids, weights=rest[:, j], minlength=nw) for j in range(k)], 1) if len(words) else np.zeros((nw, k))
-        g = np.stack([np.bincount(feats_a, weights=by_w[owner_a, j], minlength=nf) for j in range(k)], 1) if len(feats) else np.zeros((nf, k))
+        views = [(ids, rest)] + ([(ids[inner], rest[inner + 1]), (ids[inner + 1], rest[inner])] if context else [])
+        by_w = np.stack([np.bincount(at, weights=part[:, j], minlength=nw) for at, part in views for j in range(k)], 1) if len(words) else np.zeros((nw, wide))
+        g = np.stack([np.bincount(feats_a, weights=by_w[owner_a, j], minlength=nf) for j in range(wide)], 1) if len(feats) else np.zeros((nf, wide))
         g = g / np.sqrt(scale * n) - l2 * w_
         gs = (seen_first - (post[first].sum(0) if len(words) else 0)) / n
         gt = (seen_pairs - pairs) / n

@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 #: Held-out rows: those whose crc32(doc_id as text) mod 5 is 0 are never learned from.
 FOLDS = 5
+#: Different labels that are learned at most: the most frequent ones, ties by name.
+MOST_LABELS = 64
+#: Code points of a text that may be in the sample; longer documents are not learned from.
+MOST_CHARS = 200_000
+
+
+def lower(text: str) -> str:
+    """Lower case of the same length, so that offsets hold for the text itself."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -18,11 +28,13 @@ def labelled_sample(docs: DataFrame, label: str, most: int | dict, labels: DataF
     """(label, text) of at most ``most`` rows of each label (a number, or one by label) that are not held out.
 
     docs: doc_id, text and, unless ``labels`` (doc_id, label) is given, the label. Rows are chosen
-    by a hash of doc_id, the same ones each time; rows without a label or text are left out. Only
-    the chosen rows' texts reach the driver; their ids are the only thing that is broadcast."""
+    by a hash of doc_id, the same ones each time; rows without a label or text are left out, so are
+    texts beyond MOST_CHARS and labels beyond the MOST_LABELS most frequent. So the sample has at most
+    MOST_LABELS * most rows of MOST_CHARS, whatever the table holds. Only the chosen rows' texts reach
+    the driver; their ids are the only thing that is broadcast."""
     source = docs if labels is None else labels
     rows = source.filter(~held_out() & F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS).collect()}
     if not counts:
         return []
     grain, bound = 1 << 20, lambda k: most[k] if isinstance(most, dict) else most
@@ -30,7 +42,7 @@ def labelled_sample(docs: DataFrame, label: str, most: int | dict, labels: DataF
     picked = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(grain))).filter(F.col("_h") < share[F.col(label)])
     if labels is not None:
         picked = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", label, "_h")), "doc_id")
-    found = picked.filter(F.col("text").isNotNull()).select("_h", "doc_id", label, "text").collect()
+    found = picked.filter(F.char_length("text") <= MOST_CHARS).select("_h", "doc_id", label, "text").collect()
     found.sort(key=lambda r: (r[0], r[1], r[2], r[3]))
     taken: dict = {}
     out = []
