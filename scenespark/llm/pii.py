@@ -1,7 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Only DataFrame functions: for each kind, ``regexp_extract_all`` gives the matches of a pattern and
-``split`` by the same pattern gives what lies between them, so running lengths are the offsets.
+``split`` by the same pattern gives what lies between them, so running lengths are the offsets and the
+words nearby are ends of what lies between. Running values go block by block (``_scan``), and redaction
+cuts a text into blocks before it cuts spans, so that a text with very many spans takes no time in the
+square of their number.
 The patterns are anchored to places where a match can begin and use possessive repetition, so that
 they find the same leftmost matches as the plain ones without trying every place of a long run and
 without recursion.
@@ -9,7 +12,8 @@ without recursion.
 Kinds: email, ip, card (Luhn), phone, and beyond them iban (mod-97) and, where a word nearby names
 it, short_card (13 to 15 digits passing Luhn). A span is (kind, start, end, score), in code points,
 end exclusive. Null texts count as empty and have no span; overlapping spans of different kinds are
-all reported, and redaction merges them. Repeated rows give repeated results.
+all reported, and redaction merges them. Repeated rows give repeated results; further columns are kept
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,8 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How far from a span a word of context counts, in code points.
+#: How far from a span a word of context counts, in code points; it does not reach beyond the neighbouring
+#: match of the same pattern.
 NEARBY = 40
+#: Elements of a block, and of a block of blocks.
+BLOCK, LARGE = 128, 8192
 #: Spans of these kinds are kept whatever their score.
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Further spans need this score.
@@ -119,39 +126,71 @@ PROPOSALS = (
 )
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(rows: Column, size: int) -> Column:
+    """An array (a column or a bound value: it is named twice) as an array of arrays of so many elements."""
+    n = F.size(rows)
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(rows, i, F.lit(size)))
+
+
+def _scan(rows: Column, kind: str, step, total, join) -> Column:
+    """The values (of SQL type kind) that step(carry, row) -> (carry, value) gives along an array; the carry begins at 0.
+
+    Appending and slicing copy an array, so blocks are cut from larger blocks, the carry at the head of each block
+    comes from the blocks' totals (joined by ``join``), and values are appended within blocks only."""
+
+    def within(head: Column, block: Column) -> Column:
+        def one(s: Column, x: Column) -> Column:
+            nxt, value = step(s["carry"], x)
+            return F.struct(nxt.alias("carry"), F.array_append(s["out"], value).alias("out"))
+
+        return F.aggregate(block, F.struct(head.alias("carry"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda s: s["out"])
+
+    def heads(totals: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("carry"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(totals, begin, lambda s, t: F.struct(join(s["carry"], t).alias("carry"), F.array_append(s["out"], s["carry"]).alias("out")), lambda s: s["out"])
+
+    blocks = _bound(rows, lambda r: F.flatten(F.transform(_blocks(r, LARGE), lambda b: _blocks(b, BLOCK))))
+    return _bound(blocks, lambda bs: F.flatten(F.zip_with(bs, heads(F.transform(bs, total)), lambda b, h: within(h, b))))
+
+
+SPAN = "struct<kind:string,start:int,end:int,score:double>"
+
+
 def _placed(found: Column, gaps: Column, kinds: tuple[str, ...]) -> Column:
-    """array<struct<kind, start, end>> of the confirmed matches; gaps: the lengths between matches."""
+    """array<SPAN>: the confirmed matches with scores; gaps: the strings before, between and behind the matches."""
 
     def verdict(m: Column) -> Column:
         out = F.lit(None).cast("string")
         for k in reversed(kinds):
             out = F.when(_confirmed(k, m), F.lit(k)).otherwise(out)
-        return F.struct(F.length(m).alias("size"), out.alias("kind"))
+        return out
 
-    rows = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.transform(found, verdict), lambda g, v: F.struct(g.alias("gap"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("out"))
+    def one(m: Column, i: Column) -> Column:
+        before, behind = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
+        return F.struct(F.length(before).alias("gap"), F.length(m).alias("size"), _bound(verdict(m), lambda k: F.struct(k.alias("kind"), _score(k, before, behind, kinds).alias("score"))).alias("v"))
 
-    def step(s: Column, x: Column) -> Column:
-        a = s["at"] + x["gap"]
-        b = a + x["v"]["size"]
-        span = F.struct(x["v"]["kind"].alias("kind"), a.alias("start"), b.alias("end"))
-        return F.struct(b.alias("at"), F.when(x["v"]["kind"].isNotNull(), F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + x["gap"]
+        return a + x["size"], F.struct(x["v"]["kind"].alias("kind"), a.alias("start"), (a + x["size"]).alias("end"), x["v"]["score"].alias("score"))
 
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+    spans = _scan(F.transform(found, one), SPAN, step, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["size"]), lambda at, n: at + n)
+    return F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS) | (s["score"] >= LEAST_SCORE))
 
 
-def _scored(text: Column, spans: Column) -> Column:
-    """The spans with scores; those of further kinds only where the score suffices."""
-
-    def one(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - NEARBY), F.least(F.lit(NEARBY), s["start"]))
-        around = F.concat(before, F.lit(" "), F.substring(text, s["end"] + 1, F.lit(NEARBY)))
-        score = F.lit(0.0)
-        for kind, (base, words) in KINDS.items():
-            score = F.when(s["kind"] == kind, F.when(around.rlike(words), F.lit(min(1.0, base + 0.2))).otherwise(F.lit(base))).otherwise(score)
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
-
-    return F.filter(F.transform(spans, one), lambda s: s["kind"].isin(*BASE_KINDS) | (s["score"] >= LEAST_SCORE))
+def _score(kind: Column, before: Column, behind: Column, kinds: tuple[str, ...]) -> Column:
+    """The score of a match: its kind's, and more where words nearby speak for it; null without a kind."""
+    around = F.concat(F.right(before, F.lit(NEARBY)), F.lit(" "), F.substring(behind, 1, NEARBY))
+    out = F.lit(None).cast("double")
+    for k in kinds:
+        base, words = KINDS[k]
+        out = F.when(kind == k, F.when(around.rlike(words), F.lit(min(1.0, base + 0.2))).otherwise(F.lit(base))).otherwise(out)
+    return out
 
 
 def find_pii(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
@@ -163,9 +202,9 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "spans") -> DataFr
     t, n = F.col("__pii_t"), range(len(PROPOSALS))
     none = F.array().cast("array<string>")
     df = df.withColumns({f"__pii_f{k}": F.when(t.rlike(hint), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none) for k, (pattern, _, hint) in enumerate(PROPOSALS)})
-    df = df.withColumns({f"__pii_g{k}": F.when(F.size(f"__pii_f{k}") > 0, F.transform(F.split(t, PROPOSALS[k][0]), lambda x: F.length(x))).otherwise(F.array().cast("array<int>")) for k in n})
-    df = df.withColumns({f"__pii_p{k}": _placed(F.col(f"__pii_f{k}"), F.col(f"__pii_g{k}"), PROPOSALS[k][1]) for k in n})
-    df = df.withColumn("__pii_s", _scored(t, F.concat(*[F.col(f"__pii_p{k}") for k in n])))
+    df = df.withColumns({f"__pii_g{k}": F.when(F.size(f"__pii_f{k}") > 0, F.split(t, PROPOSALS[k][0])).otherwise(none) for k in n})
+    df = df.withColumns({f"__pii_p{k}": F.when(F.size(f"__pii_f{k}") > 0, _placed(F.col(f"__pii_f{k}"), F.col(f"__pii_g{k}"), PROPOSALS[k][1])).otherwise(F.array().cast(f"array<{SPAN}>")) for k in n})
+    df = df.withColumn("__pii_s", F.concat(*[F.col(f"__pii_p{k}") for k in n]))
     of = lambda kind: F.filter("__pii_s", lambda s: s["kind"] == kind)
     return df.select(*kept, F.concat(*[of(k) for k in KINDS]).alias(into))
 
@@ -183,22 +222,56 @@ def pii_query(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """array<struct<start, end, kind>> in order, none overlapping another: overlapping spans become one."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
+    # a span begins a group if none before it reaches beyond its start
+    reach = "struct<start:int,reach:int,fresh:boolean,kind:string>"
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        far = F.greatest(at, -x["neg_end"])
+        return far, F.struct(x["start"].alias("start"), far.alias("reach"), (x["start"] >= at).alias("fresh"), x["kind"].alias("kind"))
+
+    return _grouped(_scan(ordered, reach, step, lambda b: F.aggregate(b, F.lit(0), lambda n, x: F.greatest(n, -x["neg_end"])), F.greatest))
+
+
+def _grouped(rows: Column) -> Column:
+    """The groups of rows (start, reach, fresh, kind): a group's end is the reach of the row before the next fresh one."""
+
+    def ends(r: Column) -> Column:
+        last = F.filter(F.transform(r, lambda x, i: F.struct(x["reach"].alias("end"), ((i + 1 == F.size(r)) | F.coalesce(F.get(r, i + 1)["fresh"], F.lit(True))).alias("last"))), lambda x: x["last"])
+        return F.zip_with(F.filter(r, lambda x: x["fresh"]), last, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"), a["kind"].alias("kind")))
+
+    return _bound(rows, ends)
+
+
+def _replaced(text: Column, base: Column, groups: Column, sizes: tuple[int, ...]) -> Column:
+    """text, whose first code point has the place base in the document, up to the last group's end, with the
+    groups replaced; first cut into stretches that hold so many groups each."""
+    if not sizes:
+        pieces = F.transform(groups, lambda g, i: F.concat(_between(text, F.when(i == 0, base).otherwise(F.get(groups, i - 1)["end"]) - base, g["start"] - base), F.lit("<"), F.upper(g["kind"]), F.lit(">")))
+        return F.array_join(pieces, "")
+
+    def stretch(block: Column, i: Column, blocks: Column) -> Column:
+        low = F.when(i == 0, base).otherwise(F.element_at(F.get(blocks, i - 1), -1)["end"])
+        return _bound(low, lambda a: _bound(_between(text, a - base, F.element_at(block, -1)["end"] - base), lambda part: _replaced(part, a, block, sizes[1:])))
+
+    return _bound(_blocks(groups, sizes[0]), lambda blocks: F.array_join(F.transform(blocks, lambda b, i: stretch(b, i, blocks)), ""))
+
+
+def _between(text: Column, a: Column, b: Column) -> Column:
+    return F.substring(text, a + 1, b - a)
+
+
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs with every span's text replaced by its kind in angle brackets; n_chars follows the text.
 
     Spans that overlap are replaced together, under the kind of the one that begins first."""
-    spans = "__pii_spans"
-    found = find_pii(docs, into=spans)
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        end = -x["neg_end"]
-        piece = F.concat(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(s["at"], end).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"))
-
-    clean = F.aggregate(ordered, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
+    df = find_pii(docs, into="__pii_spans").withColumn("__pii_groups", _merged(F.col("__pii_spans")))
+    some, t = F.size("__pii_groups") > 0, F.col("text")
+    rest = F.substring(t, F.element_at(F.col("__pii_groups"), -1)["end"] + 1, F.length(t))
+    clean = F.concat(_replaced(t, F.lit(0), F.col("__pii_groups"), (LARGE, BLOCK)), rest)
+    out = df.withColumn("text", F.when(some, clean).otherwise(t))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
