@@ -9,8 +9,14 @@ such places that are shorter than the shortest window are passed over.
 
 Words: A-Z lower-cased, then runs of ASCII letters, digits and characters beyond ASCII. Null and empty
 texts have no word and are never contaminated; items without a word are not looked for; repeated items
-count each by their own id; repeated documents give repeated results. Further columns are kept by
-``decontaminate`` and ignored by ``contamination``.
+count each by their own id, a null id as the empty string; repeated documents give repeated results; very
+long texts are read whole. Further columns are kept by ``decontaminate`` whatever their names, and ignored
+by ``contamination``.
+
+A test set whose texts take more than SHARD_BYTES is dealt to several automata, one pass over the
+documents each: a worker then builds one automaton for a whole pass, and only one shard is broadcast at a
+time. What a pass finds is written by the digest of the text, so that it comes back to its documents
+without moving their texts as long as it is small (FOUND rows), else by a shuffle.
 """
 
 from __future__ import annotations
@@ -24,13 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenespark.session import prepare
+from scenespark.session import prepare, scratch
 
 WINDOW = 13
 #: A document is contaminated if one in so many of its words, or more, is hit.
 COVERAGE = 20
 #: Bytes of item texts in one automaton; more items are dealt out to several, each read in turn.
 SHARD_BYTES = 4 << 20
+#: Documents with hits that are broadcast back.
+FOUND = 100_000
 
 _KEPT = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -171,7 +179,8 @@ class Automaton:
 def shards(items: DataFrame, most: int = SHARD_BYTES) -> Iterator[list[tuple]]:
     """The items (item_id, text) in lists of bounded size; the driver holds one list at a time."""
     held, size = [], 0
-    for i, text in items.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").filter(F.col("text").isNotNull())
+    for i, text in rows.toLocalIterator():
         if held and size + len(text) > most:
             yield held
             held, size = [], 0
@@ -184,50 +193,84 @@ def _is_contaminated(n_hit: Column, n_words: Column, coverage: int) -> Column:
     return (n_hit > 0) & (n_hit * coverage >= n_words)
 
 
-def find_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The columns ``keep``, n_words, n_hit, ranges (of words) and items (ids as strings, sorted).
+def _joined(ranges: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return merged
+
+
+HITS = {"n_words": T.LongType(), "n_hit": T.LongType(), "ranges": T.ArrayType(T.ArrayType(T.IntegerType())), "items": T.ArrayType(T.StringType())}
+#: The names of these columns while further columns of documents travel along.
+OWN = {k: f"__hit_{k}" for k in HITS}
+_TYPES = {"n_words": pa.int64(), "n_hit": pa.int64(), "ranges": pa.list_(pa.list_(pa.int32())), "items": pa.list_(pa.string())}
+
+
+def _columns(words: list[int], found: list[tuple[list, set]]) -> dict[str, pa.Array]:
+    ranges = [_joined(r) for r, _ in found]
+    return {
+        "n_words": pa.array(words, _TYPES["n_words"]),
+        "n_hit": pa.array([sum(b - a for a, b in r) for r in ranges], _TYPES["n_hit"]),
+        "ranges": pa.array(ranges, _TYPES["ranges"]),
+        "items": pa.array([sorted(ids) for _, ids in found], _TYPES["items"]),
+    }
 
-    A test set beyond the bound of one automaton is dealt out to several files of the broadcast, and
-    each batch of documents passes all of them, so no item is left out."""
-    prepare(spark)
-    sent = [spark.sparkContext.broadcast(part) for part in shards(items, shard_bytes)]
-    schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("ranges", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType()))])
+
+def _pass(spark: SparkSession, docs: DataFrame, items: list[tuple], window: int, keep: tuple[str, ...], hits_only: bool) -> DataFrame:
+    """The columns keep and OWN of documents read through one automaton, all or only those with a hit."""
+    sent = spark.sparkContext.broadcast(items)
+    schema = T.StructType([*(docs.schema[k] for k in keep), *(T.StructField(OWN[k], t) for k, t in HITS.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Automaton(sent[0].value, window) if len(sent) == 1 else None
+        automaton = Automaton(sent.value, window)
         for batch in batches:
             names = batch.schema.names
             words = [normalised(t) for t in batch.column(names.index("text")).to_pylist()]
-            found: list[tuple[list, set]] = [([], set()) for _ in words]
-            for part in sent:
-                automaton = only or Automaton(part.value, window)
-                for (ranges, ids), ws in zip(found, words):
-                    r, i = automaton.match(ws)
-                    ranges += r
-                    ids |= i
-            out = []
-            for ranges, _ in found:
-                merged: list[list[int]] = []
-                for a, b in sorted(ranges):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                out.append(merged)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(names.index(k)) for k in keep),
-                    pa.array([len(ws) for ws in words], pa.int64()),
-                    pa.array([sum(b - a for a, b in r) for r in out], pa.int64()),
-                    pa.array(out, pa.list_(pa.list_(pa.int32()))),
-                    pa.array([sorted(map(str, ids)) for _, ids in found], pa.list_(pa.string())),
-                ],
-                [f.name for f in schema.fields],
-            )
+            found = [automaton.match(ws) for ws in words]
+            out = pa.RecordBatch.from_arrays([*(batch.column(names.index(k)) for k in keep), *_columns(list(map(len, words)), found).values()], schema.names)
+            yield out.filter(pa.array([bool(r) for r, _ in found], pa.bool_())) if hits_only else out
 
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, schema)
 
 
+def _found(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int, keep: tuple[str, ...], shard_bytes: int) -> DataFrame:
+    prepare(spark)
+    passes, waiting = [], None
+    for part in shards(items, shard_bytes):
+        if waiting is not None:
+            passes.append(_written(spark, docs, waiting, window))
+        waiting = part
+    if not passes:
+        return _pass(spark, docs, waiting, window, keep, False)
+    passes.append(_written(spark, docs, waiting, window))
+    every = spark.read.parquet(*passes)
+    hits = every.groupBy("__key").agg(F.flatten(F.collect_list(OWN["ranges"])).alias("__r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(OWN["items"])))).alias("__i"))
+    rows = _pass(spark, docs, [], window, tuple(dict.fromkeys((*keep, "text"))), False).withColumn("__key", F.sha2("text", 256))
+    rows = rows.join(F.broadcast(hits) if hits.count() <= FOUND else hits, "__key", "left")
+    ordered = F.array_sort(F.coalesce("__r", F.array().cast("array<array<int>>")))
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    n_hit = F.aggregate(ordered, begin, lambda s, r: F.struct((s["n"] + F.greatest(r[1] - F.greatest(r[0], s["end"]), F.lit(0))).alias("n"), F.greatest(r[1], s["end"]).alias("end")), lambda s: s["n"])
+    own = {"n_words": F.col(OWN["n_words"]), "n_hit": n_hit.cast("long"), "ranges": ordered, "items": F.coalesce("__i", F.array().cast("array<string>"))}
+    return rows.select(*keep, *[own[k].alias(OWN[k]) for k in HITS])
+
+
+def _written(spark: SparkSession, docs: DataFrame, items: list[tuple], window: int) -> str:
+    """The documents with hits of one shard's items, by digest of the text."""
+    path = scratch(spark, "hits")
+    _pass(spark, docs.select("text"), items, window, ("text",), True).withColumn("__key", F.sha2("text", 256)).drop("text").dropDuplicates(["__key"]).write.parquet(path)
+    return path
+
+
+def find_hits(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The columns ``keep``, n_words, n_hit, ranges (of words, in order; those of several automata may overlap)
+    and items (ids as strings, sorted); kept columns of these names are replaced. No item is left out, however large the test set."""
+    kept = tuple(k for k in keep if k not in HITS)
+    return _found(spark, docs, items, window, kept, shard_bytes).select(*kept, *[F.col(OWN[k]).alias(k) for k in HITS])
+
+
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     return find_hits(spark, docs, items, window).select(
@@ -240,14 +283,14 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     )
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, remove_spans: bool = False) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, remove_spans: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """docs without contaminated documents; other documents stay as they are.
 
     With ``remove_spans`` no document goes; instead contaminated documents lose the hit spans (from a
     span's first word to its last; n_chars follows the text)."""
     keep = tuple(docs.columns)
-    found = find_hits(spark, docs, items, window, keep)
-    bad = _is_contaminated(F.col("n_hit"), F.col("n_words"), coverage)
+    found = _found(spark, docs, items, window, keep, shard_bytes)
+    bad = _is_contaminated(F.col(OWN["n_hit"]), F.col(OWN["n_words"]), coverage)
     if not remove_spans:
         return found.filter(~bad).select(*keep)
     schema = docs.schema
@@ -259,16 +302,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
         for batch in batches:
             cols = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             texts = []
-            for text, ranges, hit in zip(cols["text"].to_pylist(), cols["ranges"].to_pylist(), cols["_bad"].to_pylist()):
+            for text, ranges, hit in zip(cols["text"].to_pylist(), cols[OWN["ranges"]].to_pylist(), cols["__hit_bad"].to_pylist()):
                 if hit:
                     raw = text.encode()
                     at = [m.span() for m in word.finditer(raw)]
-                    for a, b in reversed(ranges):
+                    for a, b in reversed(_joined(ranges)):
                         raw = raw[: at[a][0]] + raw[at[b - 1][1] :]
                     text = raw.decode()
                 texts.append(text)
             cols["text"] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([cols[n] for n in schema.names], schema.names)
 
-    out = found.withColumn("_bad", bad).mapInArrow(strip, schema)
+    out = found.withColumn("__hit_bad", bad).mapInArrow(strip, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in keep else out
