@@ -7,18 +7,28 @@ decisions on. An explicit allow in a component takes precedence over any block;
 verdict is allow.
 
 A URL's node is its host in lower case, its path and its query; scheme and fragment don't count.
-Null or malformed URLs have empty host and path, no node and no alias. Relative targets are resolved
-against the page's host and path. Repeated rows and URLs give repeated results; further columns are
-ignored. Edges and components stay distributed.
+Null or malformed URLs have empty host and path, no node and no alias. All canonical links and
+refreshes of a page count, as an HTML parser sees them: not those in comments, scripts, styles or
+quoted attributes, with character references decoded and rel read as a list of words. Targets are
+resolved against the page's URL, or its base element, with dot segments; what cannot be resolved is
+no link. Only pages that mention either word are parsed; a page is parsed whole, however long.
+Repeated rows and URLs give repeated results; null html is empty; an empty table gives an empty
+result; further columns are ignored. Edges and components stay distributed.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenespark.llm.components import components
-from scenespark.session import cut
+from scenespark.session import cut, prepare
 
 #: (verdict, host, path) of the query's rules: fixed values of its contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -65,26 +75,59 @@ def verdict_of(rule: Column, rules=RULES) -> Column:
     return out
 
 
-_TAG = {
-    "canonical": (r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"']?[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
-    "refresh": (r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[\"']?[^>]*>", r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)"),
-}
+class _Links(HTMLParser):
+    """The targets of a page's canonical links and refreshes, as written, and its base."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.targets: list[str] = []
+        self.base: str | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        own = {}
+        for name, value in attrs:  # of repeated attributes the first counts
+            own.setdefault(name, value or "")
+        if tag == "base" and self.base is None and "href" in own:
+            self.base = own["href"].strip()
+        elif tag == "link" and "canonical" in own.get("rel", "").lower().split():
+            self.targets.append(own.get("href", "").strip())
+        elif tag == "meta" and own.get("http-equiv", "").strip().lower() == "refresh":
+            found = REFRESH.match(own.get("content", ""))
+            if found:
+                self.targets.append(next((g for g in found.groups() if g is not None), "").strip())
+
+
+#: The content of a refresh: seconds, then url= and a target, quoted or not.
+REFRESH = re.compile(r"(?is)\s*[0-9.]*\s*[;,]?\s*url\s*=\s*(?:'([^']*)'?|\"([^\"]*)\"?|(.*))")
+
+
+def alias_targets(url: str, html: str) -> list[str]:
+    """The absolute targets of a page's canonical links and refreshes, in order."""
+    page = _Links()
+    page.feed(html)
+    page.close()
+    out = []
+    for target in page.targets:
+        try:
+            full = urljoin(urljoin(url, page.base) if page.base else url, target) if target else ""
+        except ValueError:  # a malformed host
+            continue
+        if full:
+            out.append(full)
+    return out
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """a, b: nodes of a page and of the target of its canonical link or redirect."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    targets = [F.when(html.rlike(f"(?i){word}"), F.regexp_extract(F.regexp_extract(html, tag, 0), attr, 1)).otherwise("") for word, (tag, attr) in _TAG.items()]
-    rows = pages.select("url", F.explode(F.filter(F.array(*targets), lambda t: t != "")).alias("to"))
-    base, path = F.concat(F.lit("http://"), url_host(F.col("url"))), url_path(F.col("url"))
-    to = F.col("to")
-    full = (
-        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(base, to))
-        .otherwise(F.concat(base, F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise(F.lit("/")), to))
-    )
-    return rows.select(url_node(F.col("url")).alias("a"), url_node(full).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    prepare(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(u, t) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in alias_targets(u, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], ["url", "to"])
+
+    rows = pages.select("url", "html").filter(url_node(F.col("url")).isNotNull() & F.col("html").rlike("(?i)canonical|refresh")).mapInArrow(run, "url string, to string")
+    return rows.select(url_node(F.col("url")).alias("a"), url_node(F.col("to")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
