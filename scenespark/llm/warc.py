@@ -2,15 +2,19 @@
 
 Each page becomes a request, a response (or a revisit of an equal payload) and a metadata record that
 are tied by WARC-Concurrent-To. Spark's text writer puts records behind each other, ended by CRLF CRLF,
-into gzip files in a folder that all executors share. Reading takes each archive whole from Spark's
-binaryFile source and parses it record by record, so memory holds one archive; their size is bounded by
-``RECORDS`` and by the read partitions. Assembly joins the three kinds of records by identifier and
-gives one nested row per capture; a record whose partners are missing still gives a row.
+into gzip files (one stream each) in a folder that all executors share. Captures are dealt to files by
+classes of their size, so that a file holds at most ``ARCHIVE_BYTES`` before compression, or one capture
+that is larger. Reading takes each archive whole from Spark's binaryFile source and parses it record by
+record, so memory holds one archive; a single capture must stay below 2 GB, the bound of Spark's values.
+Assembly joins the three kinds of records through the identifier they are concurrent to, in one
+aggregation over one reading of the archives, and gives one nested row per capture; a record whose
+partners are missing still gives a row, and of repeated records of one kind the one with the smallest
+identifier counts.
 
 Of records with equal payloads of at least ``LEAST`` bytes, the one with the largest page_id is the
 response and the others revisit it (a null page_id is the smallest); copies of that row itself stay
-responses. Null html is the empty payload. Repeated rows are captures of their own. Further columns of
-pages are ignored.
+responses. Null html is the empty payload. Repeated rows are captures of their own. An empty table gives
+no archive and no row. Further columns of pages are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import types as T
 from scenespark.session import cut, prepare, scratch
 
 LEAST = 1000
-#: WARC records of one archive file, and the date written into them (archives are repeatable).
-RECORDS, DATE = 6000, "2024-01-01T00:00:00Z"
+#: Bytes of one archive file, its records at most, and the date written into them (archives are repeatable).
+ARCHIVE_BYTES, RECORDS, DATE = 32 << 20, 6000, "2024-01-01T00:00:00Z"
+#: Classes of captures by payload bytes: below each of these, and beyond the last.
+SIZES = (12 << 10, 192 << 10, 3 << 20)
 #: Payload digests with copies that may be broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
 CRLF = "\r\n"
@@ -58,10 +64,19 @@ def mark_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return out.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(other, F.col("first_id")).alias("refers_to"))
 
 
-def write_warc(captures: DataFrame, path: str, records: int = RECORDS) -> None:
-    """Writes the captures of ``mark_revisits`` as gzip archives under path."""
+def write_warc(captures: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes the captures of ``mark_revisits`` as gzip archives in folders under path, one for each class of sizes."""
+    stored = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0)
+    size = sum((F.when(stored >= s, 1).otherwise(0) for s in SIZES), F.lit(0))
+    for k in sorted(r[0] for r in captures.select(size.alias("k")).distinct().collect()) or [0]:
+        # headers, request and metadata take less than the bytes of the smallest class, unless the url is long
+        records = 3 * max(1, archive_bytes // (SIZES[k] + 4096)) if k < len(SIZES) else 3
+        _write_records(captures.filter(size == k), k, f"{path}/size{k}", min(RECORDS, records))
+
+
+def _write_records(captures: DataFrame, size: int, path: str, records: int) -> None:
     row = F.monotonically_increasing_id().cast("string")
-    df = captures.withColumn("__row", F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("/"), row))
+    df = captures.withColumn("__row", F.concat(F.lit(f"{size}/"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("/"), row))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     rid, digest = _id(F.col("__row"), F.lit("response")), F.concat(F.lit("sha1:"), F.col("payload_digest"))
     again = F.col("refers_to").isNotNull()
@@ -134,23 +149,19 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    whole = T._parse_datatype_string("path string, modificationTime timestamp, length bigint, content binary")
+    files = spark.read.format("binaryFile").schema(whole).option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, schema)
 
 
 def assemble_transactions(records: DataFrame) -> DataFrame:
     """capture_id and the structs request, response and metadata: one row per capture."""
-    rest = [c for c in records.columns if c != "concurrent_to"]
-
-    def part(name: str, kinds: tuple[str, ...], key: str) -> DataFrame:
-        return records.filter(F.col("type").isin(*kinds)).select(F.col(key).alias(f"{name}_key"), F.struct(*rest).alias(name))
-
-    response = part("response", ("response", "revisit"), "record_id")
-    request = part("request", ("request",), "concurrent_to")
-    metadata = part("metadata", ("metadata",), "concurrent_to")
-    both = response.join(request, F.col("response_key") == F.col("request_key"), "full_outer").withColumn("capture_id", F.coalesce("response_key", "request_key"))
-    out = both.join(metadata, F.col("capture_id") == F.col("metadata_key"), "full_outer")
-    return out.select(F.coalesce("capture_id", "metadata_key").alias("capture_id"), "request", "response", "metadata")
+    rest = F.struct(*[c for c in records.columns if c != "concurrent_to"])
+    answer = F.col("type").isin("response", "revisit")
+    keyed = records.select(F.when(answer, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id"), "type", "record_id", rest.alias("__record"))
+    part = lambda kinds: F.min_by(F.when(F.col("type").isin(*kinds), F.col("__record")), F.when(F.col("type").isin(*kinds), F.col("record_id")))
+    known = keyed.filter(F.col("type").isin("request", "response", "revisit", "metadata"))
+    return known.groupBy("capture_id").agg(part(("request",)).alias("request"), part(("response", "revisit")).alias("response"), part(("metadata",)).alias("metadata"))
 
 
 def warc_query(spark: SparkSession, pages: DataFrame) -> DataFrame:
