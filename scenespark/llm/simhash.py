@@ -11,10 +11,13 @@ Only different fingerprints are searched; copies follow by membership. A part va
 than ``bucket`` fingerprints would give pairs in the square of their number. Such fingerprints, and
 those that probe them, take another exact way: each emits every fingerprint within half the radius
 of itself, and those that meet in one such midpoint are linked to the smallest among them (any two
-within the radius share a midpoint, any two that share one are within the radius).
+within the radius share a midpoint, any two that share one are within the radius). An odd radius has no
+midpoints and compares all that share a part value, whatever their number.
 
 Null texts and texts without a word have fingerprint zero and are linked like any other. Documents
-with a null id take part but cannot name a component. Repeated rows give repeated results.
+with a null id take part but cannot name a component. Repeated rows give repeated results; very long
+texts are read whole; an empty table gives an empty result; further columns are ignored by
+``near_duplicates`` and kept by ``drop_near_duplicates`` whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +40,13 @@ SHINGLE, RADIUS = 4, 4
 BUCKET = 2048
 #: Fingerprints sampled to group bits and to estimate candidate counts; results do not depend on it.
 SAMPLE = 4000
-#: The cost of a probe in candidates.
-PROBE_COST = 2.0
-PARTS = (2, 3, 4)
+#: The cost of a probe, a row that is shuffled and sorted, in candidates, which are only compared.
+PROBE_COST = 20.0
+PARTS = (2, 3, 4, 5)
+#: Documents of one fingerprint beyond which its rows are joined by broadcast; there are few such fingerprints.
+COPIES = 10_000
+#: Parts that the rows of one component are dealt to when they are joined.
+SALTS = 16
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -165,7 +172,7 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, bucket: int
     probes = fps.select("fp", F.explode(flips).alias("x")).select("fp", "x.part", (F.col("fp").bitwiseAND(F.col("x.mask"))).alias("value"), F.explode("x.flips").alias("flip")).select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("key"), F.col("fp").alias("a"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     hot = crowded.count()
-    if not hot:
+    if not hot or radius % 2:  # an odd radius has no midpoints; all pairs that share a value are compared
         pairs = probes.alias("p").join(index.alias("i"), (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & near)
         return pairs.select("a", "b")
     known = F.broadcast(crowded) if hot <= 100_000 else crowded
@@ -182,20 +189,49 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, bucket: int
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every document."""
     prints = cut(fingerprints(spark, docs, size))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(spark, classes.select("fp"), radius, bucket))
-    # components are named by fingerprints; what is asked for is the smallest doc_id
-    placed = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")))
-    named = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = placed.join(named, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = cut(components(links(spark, classes.select("fp"), radius, bucket)).withColumnRenamed("node", "fp"))
+    # components are named by fingerprints; what is asked for is the smallest doc_id. One component may hold a
+    # third of all fingerprints, so its rows are salted
+    linked = cut(classes.join(found, "fp").select("fp", "rep", "component", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")))
+    named = linked.groupBy("component").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    placed = linked.join(named, ["component", "salt"]).select("fp", "component_id")
+    of = cut(classes.join(placed, "fp", "left").select("fp", "n", F.coalesce("component_id", "rep").alias("component_id")))
+    # copies of one text may be a third of all rows: the few such fingerprints are broadcast
+    many = of.filter(F.col("n") > COPIES).select("fp", "component_id")
+    few = of.filter(F.col("n") <= COPIES).select("fp", "component_id")
+    if many.isEmpty():
+        out = prints.join(few, "fp")
+    else:
+        hot = F.broadcast(many)
+        out = prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(few, "fp"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_named(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with the document that names each group; all columns of docs.
+
+    groups: doc_id, component_id of every document with an id, computed already. Decided on ids: the texts stay
+    where they are if the ids to drop are few enough to be broadcast (DROPPED), and move once otherwise. Of rows that
+    repeat a doc_id the one stays whose columns have the smallest hash. Documents with a null id cannot be told apart
+    and all stay."""
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    gone, again = cut(gone), cut(again)
+    n_gone, n_again = gone.count(), again.count()
+    known = lambda ids, n: F.broadcast(ids) if n <= DROPPED else ids
+    kept = docs.join(known(gone, n_gone), "doc_id", "left_anti") if n_gone else docs
+    if n_again:
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        repeated = kept.join(known(again, n_again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
+        kept = kept.join(known(again, n_again), "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.select("__row.*").select(*docs.columns))
+    return kept.select(*docs.columns)
+
+
+#: Ids of documents that are broadcast to drop them.
+DROPPED = 1_000_000
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """docs with the document of the smallest doc_id of each component; all columns of docs.
-
-    Of rows that repeat a doc_id one stays. Documents with a null id cannot be told apart and all stay."""
-    named = docs.filter("doc_id IS NOT NULL")
-    keep = near_duplicates(spark, named, size, radius, bucket).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """docs with the document of the smallest doc_id of each component, see ``keep_named``."""
+    return keep_named(docs, cut(near_duplicates(spark, docs.filter("doc_id IS NOT NULL"), size, radius, bucket)))
