@@ -8,7 +8,8 @@ steps back over its left neighbour. Decoding gathers bytes through a table of of
 
 Texts: null is the empty text; every text is encoded whole, of any length. A text that holds the
 string of an added token gets that token's id, as the vocabulary file demands. Repeated rows give
-repeated results; further columns are ignored by ``bpe_digest`` and kept by ``bpe_encode``.
+repeated results; an empty table gives an empty result; further columns are ignored by ``bpe_digest``
+and kept by ``bpe_encode``, but for those named like its own.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
-#: Pieces that a worker remembers; beyond this it starts anew, so that memory stays bounded.
-REMEMBERED = 800_000
+#: Pieces that a worker remembers, and the bytes of the longest one; beyond these it starts anew or does
+#: not remember, so that memory stays bounded.
+REMEMBERED, LONGEST = 800_000, 64
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -147,7 +149,8 @@ class Bpe:
             known.clear()
             pieces = self.latest
         for p in pieces:
-            known[p] = array("I", encode(p.encode()) if p not in self.added else [self.added[p]]).tobytes()
+            ids = array("I", encode(p.encode()) if p not in self.added else [self.added[p]]).tobytes()
+            (known if len(p) <= LONGEST else self.long)[p] = ids
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text; the strings of added tokens stand alone."""
@@ -164,9 +167,14 @@ class Bpe:
         self.latest = set(found)
         known = self.ids_of_piece
         new = {p for p in self.latest if p not in known}
+        self.long: dict[str, bytes] = {}
         if new:
             self.learn(new)
-        ids = np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
+        if self.long:
+            own = self.long
+            ids = np.frombuffer(b"".join(own[p] if p in own else known[p] for p in found), np.uint32)
+        else:
+            ids = np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
         return ids, ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -219,7 +227,8 @@ def bpe_digest(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFra
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, vocabulary: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, n_tokens and token_ids (array of int) of each document."""
+    """The columns ``keep``, n_tokens and token_ids (array of int) of each document; kept columns of these two names are replaced."""
+    keep = tuple(k for k in keep if k not in ("n_tokens", "token_ids"))
     spec = prepare(spark).sparkContext.broadcast(read_spec(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
