@@ -15,11 +15,12 @@ def forward_asof(keys: DataFrame, axes: tuple[str, ...], by: tuple[str, ...] = (
     """by, time and a column per axis: its first key at or after the time, else its last key, else the default.
 
     keys: by, axis, time, value; of several keys of an axis at one time the largest value counts. One
-    shuffle by target; both windows share its sort."""
+    shuffle by target, one sort: read from the last time on, the value ahead is the last one seen."""
     wide = keys.groupBy(*by, time).agg(*[F.max(F.when(F.col("axis") == a, F.col("value"))).alias(a) for a in axes])
-    ahead = Window.partitionBy(*by).orderBy(time).rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pick = lambda a: F.coalesce(F.first(a, ignorenulls=True).over(ahead), F.last(a, ignorenulls=True).over(whole), F.lit((defaults or {}).get(a, 0.0)))
+    back = Window.partitionBy(*by).orderBy(F.desc(time))
+    ahead = back.rowsBetween(Window.unboundedPreceding, 0)
+    whole = back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pick = lambda a: F.coalesce(F.last(a, ignorenulls=True).over(ahead), F.first(a, ignorenulls=True).over(whole), F.lit((defaults or {}).get(a, 0.0)))
     return wide.select(*by, time, *[pick(a).alias(a) for a in axes])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scenespark.operators.order import numbered
+
 
 def key_sets(objects: DataFrame) -> DataFrame:
     """Objects (id, attrs map) with key_set, their sorted attribute names."""
@@ -12,9 +14,15 @@ def key_sets(objects: DataFrame) -> DataFrame:
 
 
 def classes(objects: DataFrame) -> DataFrame:
-    """class_id (by the order of key sets), key_set, instances and ids."""
-    sets = key_sets(objects).groupBy("key_set").agg(F.count("*").alias("instances"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
-    return sets.select((F.row_number().over(Window.orderBy("key_set")) - 1).cast("long").alias("class_id"), "key_set", "instances", "ids")
+    """class_id (by the order of key sets), key_set and instances."""
+    sets = key_sets(objects).groupBy("key_set").agg(F.count("*").alias("instances"))
+    return numbered(sets, "key_set").select((F.col("place") - 1).alias("class_id"), "key_set", "instances")
+
+
+def members(objects: DataFrame) -> DataFrame:
+    """id, class_id: a class may hold most objects, so they come as rows, not as one list."""
+    numbers = classes(objects).select("key_set", "class_id")
+    return key_sets(objects).join(F.broadcast(numbers), "key_set").select("id", "class_id")
 
 
 def columns_of_classes(objects: DataFrame) -> DataFrame:

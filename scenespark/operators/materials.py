@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenespark.operators.order import numbered
+
 # Image types by extension: fixed values.
 MIME = {"ktx": "image/ktx", "ktx2": "image/ktx2", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
 #: GL formats and their linear-to-sRGB and Vulkan numbers: fixed values of the formats in use here.
@@ -37,7 +39,7 @@ def dense_ids(rows: DataFrame, ident: str, content: tuple[str, ...]) -> DataFram
     """content and new_id: numbers in order of first appearance (smallest ident). The different contents
     are few beside the rows; only they are numbered."""
     first = rows.groupBy(*content).agg(F.min(ident).alias("first"))
-    return first.select(*content, (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("new_id"))
+    return numbered(first, "first").select(*content, (F.col("place") - 1).alias("new_id"))
 
 
 def remap(users: DataFrame, kept: DataFrame, ident: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenespark.functions import linalg as la
+from scenespark.operators.order import numbered
 from scenespark.session import cut
 
 #: Levels of a hierarchy that are walked at most; deeper ones are an error, not cut short.
@@ -21,12 +22,11 @@ def local_matrix(tx="tx", ty="ty", tz="tz", s="s", q="q") -> Column:
     return la.matrix(sc * cos, sc * sin, 0, 0, -sc * sin, sc * cos, 0, 0, 0, 0, sc, 0, tx, ty, tz, 1)
 
 
-def walk(nodes: DataFrame, carry: dict[str, tuple[Column, Column]], down: bool = True) -> DataFrame:
+def walk(nodes: DataFrame, carry: dict[str, tuple[Column, Column]]) -> DataFrame:
     """All nodes with their depth below a root and carried values.
 
     carry: name -> (value at a root, value at a child as an expression over the child's columns and the
-    parent's carried columns, which are named up_<name>). One join per level; a level's lineage is cut
-    only when the tree is deep, so that plans stay small."""
+    parent's carried columns, which are named up_<name>). One join per level, computed once."""
     first = nodes.filter("parent_id IS NULL")
     names = list(carry)
     level = first.select(*nodes.columns, F.lit(0).alias("depth"), *[v[0].alias(n) for n, v in carry.items()])
@@ -34,7 +34,7 @@ def walk(nodes: DataFrame, carry: dict[str, tuple[Column, Column]], down: bool =
     for depth in range(1, DEEPEST + 1):
         up = level.select(F.col("node_id").alias("up_id"), *[F.col(n).alias(f"up_{n}") for n in names])
         level = nodes.join(up, F.col("parent_id") == F.col("up_id")).select(*nodes.columns, F.lit(depth).alias("depth"), *[v[1].alias(n) for n, v in carry.items()])
-        level = cut(level) if depth % 4 == 0 else level
+        level = cut(level)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
@@ -97,6 +97,6 @@ def batch_ids(geodes: DataFrame, order: DataFrame) -> DataFrame:
     Numbers run over the whole scene, so they come from counts per node and a running sum over nodes:
     no sort of all geodes in one place."""
     per = geodes.groupBy("node_id").agg(F.count("*").alias("n")).join(order.select("node_id", "sort_key"), "node_id")
-    base = per.withColumn("base", F.sum("n").over(Window.orderBy("sort_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("node_id", "base")
+    base = numbered(per, "sort_key", value="n").select("node_id", F.col("before").alias("base"))
     own = F.row_number().over(Window.partitionBy("node_id").orderBy("geode_id")) - 1
     return geodes.join(base, "node_id").select("geode_id", "node_id", (F.col("base") + own).cast("long").alias("batch_id"), F.greatest(F.col("base") - 1, F.lit(0)).cast("long").alias("parent_batch_id"))

@@ -36,24 +36,45 @@ def draw_call_budget(level: int, most: int) -> int:
     return min((level + 1) * 5, most)
 
 
-def greedy_select(objects: DataFrame, cell: tuple[str, ...], max_triangles: int, max_draw_calls: int) -> DataFrame:
-    """cell, accepted (ids) and rejected (ids): objects (id, radius, triangles, key) in order of falling
-    radius, each accepted if both budgets still hold; if nothing fits, the largest one is taken.
+#: Objects of a cell that one fold reads.
+CHUNK = 4096
 
-    The fold is one aggregate over a sorted array. Rejected objects do not use up the budget. At most
-    max_triangles objects with a triangle can be accepted, but all objects of a cell are read in order:
-    this is the sequential part, one cell at a time, and cells are as many as tiles."""
+
+def greedy_select(objects: DataFrame, cell: tuple[str, ...], max_triangles: int, max_draw_calls: int, chunk: int = CHUNK) -> DataFrame:
+    """objects with accepted: those of each cell (id, radius, triangles, key) in order of falling radius, each
+    accepted if both budgets still hold; if nothing fits, the largest one is taken.
+
+    A fold reads at most ``chunk`` objects of a cell at a time, the largest ones that could still be accepted (the
+    others need not be sorted: the limit is taken before the shuffle). What could not be accepted once never can be,
+    as budgets only shrink, so after a chunk only what still fits its remaining budgets goes on to the next round."""
     row = F.struct((-F.col("radius")).alias("r"), F.col("id"), F.col("triangles"), F.col("key"))
-    start = F.struct(F.lit(0).cast("bigint").alias("tri"), F.array().cast("array<string>").alias("keys"), F.array().cast("array<bigint>").alias("taken"))
+    order = Window.partitionBy(*cell).orderBy(F.desc("radius"), "id")
 
     def step(s: Column, x: Column) -> Column:
         keys = F.array_union(s["keys"], F.array(x["key"]))
         fits = (s["tri"] + x["triangles"] <= max_triangles) & (F.size(keys) <= max_draw_calls)
         return F.when(fits, F.struct((s["tri"] + x["triangles"]).alias("tri"), keys.alias("keys"), F.array_append(s["taken"], x["id"]).alias("taken"))).otherwise(s)
 
-    folded = objects.groupBy(*cell).agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("fold", F.aggregate("rows", start, step))
-    taken = F.when(F.size("fold.taken") > 0, F.col("fold.taken")).otherwise(F.array(F.col("rows")[0]["id"]))
-    return folded.select(*cell, taken.alias("accepted"), F.array_except(F.transform("rows", lambda r: r["id"]), taken).alias("rejected"))
+    rest = objects.select(*cell, "id", "radius", "triangles", "key").withColumns({"tri": F.lit(0).cast("long"), "keys": F.array().cast("array<string>")})
+    taken, first = None, None
+    while True:
+        top = rest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= chunk)
+        begin = F.struct(F.first("tri").alias("tri"), F.first("keys").alias("keys"), F.array().cast("array<bigint>").alias("taken"))
+        rows = top.groupBy(*cell).agg(F.array_sort(F.collect_list(row)).alias("rows"), begin.alias("begin"))
+        done = cut(rows.select(*cell, F.aggregate("rows", F.col("begin"), step).alias("s"), F.col("rows")[0]["id"].alias("largest"), F.element_at("rows", -1).alias("end"), (F.size("rows") >= chunk).alias("more")))
+        first = done.select(*cell, "largest") if first is None else first
+        own = done.select(*cell, F.explode("s.taken").alias("id"))
+        taken = own if taken is None else taken.unionByName(own)
+        again = done.filter("more").select(*cell, F.col("s.tri").alias("tri"), F.col("s.keys").alias("keys"), F.col("end.r").alias("end_r"), F.col("end.id").alias("end_id"))
+        if again.isEmpty():
+            break
+        rest = rest.drop("tri", "keys").join(again, list(cell))
+        behind = (-F.col("radius") > F.col("end_r")) | ((-F.col("radius") == F.col("end_r")) & (F.col("id") > F.col("end_id")))
+        fits = (F.col("tri") + F.col("triangles") <= max_triangles) & ((F.size("keys") < max_draw_calls) | F.array_contains("keys", F.col("key")))
+        rest = cut(rest.filter(behind & fits).drop("end_r", "end_id"))
+    empty = first.join(taken.select(*cell).distinct(), list(cell), "left_anti").select(*cell, F.col("largest").alias("id"))
+    chosen = taken.unionByName(empty).withColumn("accepted", F.lit(True))
+    return objects.join(chosen, [*cell, "id"], "left").select(*objects.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def bounds_of(objects: DataFrame) -> dict[str, float]:
@@ -82,23 +103,19 @@ def tree(objects: DataFrame, kind: str, levels: int, max_triangles: int = 200_00
             took = placed.select("id", F.lit(level).cast("long").alias("level"), *names)
             return took if out is None else out.unionByName(took)
         chosen = cut(greedy_select(placed, names, max_triangles, draw_call_budget(level, max_draw_calls)))
-        took = chosen.select(F.explode("accepted").alias("id"), F.lit(level).cast("long").alias("level"), *names)
+        took = chosen.filter("accepted").select("id", F.lit(level).cast("long").alias("level"), *names)
         out = took if out is None else out.unionByName(took)
-        left = chosen.select(F.explode("rejected").alias("id"))
-        rest = rest.join(left, "id", "left_semi")
-        if left.isEmpty():
+        rest = chosen.filter("NOT accepted").select(*objects.columns)
+        if rest.isEmpty():
             return out
     return out
+    return out
 
 
 def sah_histogram(objects: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, axis, bucket, count and box of the buckets: objects (cx.., min_x.. max_z) by where their centre lies."""
-    w = Window.partitionBy(*keys) if keys else None
-    if keys:
-        limits = objects.select("*", *[f(f"{n}_{a}").over(w).alias(f"all_{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
-    else:
-        whole = objects.agg(*[f(f"{n}_{a}").alias(f"all_{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
-        limits = objects.join(F.broadcast(whole))
+    whole = objects.groupBy(*keys).agg(*[f(f"{n}_{a}").alias(f"all_{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
+    limits = objects.join(whole, list(keys)) if keys else objects.join(F.broadcast(whole))
     entry = F.array(*[F.struct(F.lit(k).alias("axis"), F.col(f"c{a}").alias("c"), F.col(f"all_min_{a}").alias("lo"), F.col(f"all_max_{a}").alias("hi")) for k, a in enumerate(AXES)])
     rows = limits.select("*", F.explode(entry).alias("e")).filter("e.hi > e.lo")
     bucket = F.least(F.greatest(F.floor(BUCKETS * (F.col("e.c") - F.col("e.lo")) / (F.col("e.hi") - F.col("e.lo"))), F.lit(0)), F.lit(BUCKETS - 1))
@@ -138,46 +155,69 @@ def best_split(sides: DataFrame, whole: DataFrame, keys: tuple[str, ...] = ()) -
     return picked.select(*keys, "b.axis", "b.position", "b.cost", (F.col("b.cost") < INTERSECTION * F.col("b.n")).alias("pays"))
 
 
-def kd_tree(objects: DataFrame, levels: int, max_objects: int) -> DataFrame:
-    """id, node: a KD-tree by the surface-area heuristic; node is a path of l and r below the root.
-
-    Each level splits all nodes that are still too large at once; a node whose split does not pay stays
-    a leaf with all its objects."""
-    now = objects.withColumn("node", F.lit(""))
-    done = None
-    for _ in range(levels):
-        size = Window.partitionBy("node")
-        now = now.withColumn("_n", F.count("*").over(size))
-        big = cut(now.filter(F.col("_n") > max_objects).drop("_n"))
-        small = now.filter(F.col("_n") <= max_objects).select("id", "node")
-        done = small if done is None else done.unionByName(small)
-        if big.isEmpty():
-            return done
-        keys = ("node",)
-        whole = big.groupBy("node").agg(F.count("*").alias("n"), *[f(f"{n}_{a}").alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
-        split = best_split(prefix_suffix(sah_histogram(big, keys), keys), whole, keys)
-        marked = big.join(split, "node", "left")
+def kd_tree(objects: DataFrame, levels: int, max_triangles: int = 200_000, max_draw_calls: int = 20) -> DataFrame:
+    """id, node, level, x, y, z: a KD-tree by the surface-area heuristic; node is a path of l and r below the root.
+
+    Each level treats all nodes at once: a node keeps what the greedy selection accepts under its budgets, the rest is
+    split. Where a split does not pay, and at the last level, the node keeps the whole rest. The right child's index is
+    larger by 1 << (level % 3) on the split axis. Boxes and splits are one row a node and are joined to the objects."""
+    zero = {a: F.lit(0).cast("long") for a in AXES}
+    now, out = objects.withColumn("node", F.lit("")).withColumns({f"t{a}": zero[a] for a in AXES}), None
+    kept = lambda rows, level: rows.select("id", "node", F.lit(level).cast("long").alias("level"), *[F.col(f"t{a}").alias(a) for a in AXES])
+    for level in range(levels + 1):
+        if level == levels:
+            return out.unionByName(kept(now, level)) if out is not None else kept(now, level)
+        chosen = cut(greedy_select(now, ("node",), max_triangles, draw_call_budget(level, max_draw_calls)))
+        took = kept(chosen.filter("accepted"), level)
+        out = took if out is None else out.unionByName(took)
+        rest = chosen.filter("NOT accepted").drop("accepted")
+        if rest.isEmpty():
+            return out
+        whole = rest.groupBy("node").agg(F.count("*").alias("n"), *[f(f"{n}_{a}").alias(f"{n}_{a}") for a in AXES for n, f in (("min", F.min), ("max", F.max))])
+        split = cut(best_split(prefix_suffix(sah_histogram(rest, ("node",)), ("node",)), whole, ("node",)))
+        marked = rest.join(split, "node", "left")
         value = F.element_at(F.array(*[F.col(f"c{a}") for a in AXES]), F.col("axis") + 1)
-        done = done.unionByName(marked.filter("pays IS NULL OR NOT pays").select("id", "node"))
-        now = marked.filter("pays").withColumn("node", F.concat("node", F.when(value <= F.col("position"), "l").otherwise("r"))).drop("axis", "position", "cost", "pays")
-    return done.unionByName(now.select("id", "node"))
+        out = out.unionByName(kept(marked.filter("pays IS NULL OR NOT pays"), level))
+        right = value > F.col("position")
+        moved = {f"t{a}": F.col(f"t{a}") + F.when(right & (F.col("axis") == k), 1 << (level % 3)).otherwise(0) for k, a in enumerate(AXES)}
+        now = cut(marked.filter("pays").withColumns({**moved, "node": F.concat("node", F.when(right, "r").otherwise("l"))}).drop("axis", "position", "cost", "pays"))
+        if now.isEmpty():
+            return out
 
 
 def first_tile_of(instances: DataFrame, tiles: DataFrame) -> DataFrame:
     """instance_id and the first tile (by preorder) whose box holds the instance's centre; null if none.
 
-    A range join: the tiles' boxes are cut into the cells of a coarse grid, so that both sides meet on
-    equal cell numbers and the exact test follows."""
-    size = 16.0
-    cell = lambda c: F.floor(c / size).cast("int")
-    spread = tiles
-    for a in "xy":
-        spread = spread.select("*", F.explode(F.sequence(cell(F.col(f"min_{a}")), cell(F.col(f"max_{a}")))).alias(f"g{a}"))
-    keyed = instances.select("*", cell(F.col("cx")).alias("gx"), cell(F.col("cy")).alias("gy"))
-    hits = keyed.join(spread, ["gx", "gy"]).filter(centre_in("")).groupBy("instance_id").agg(F.min_by("tile_id", "preorder").alias("tile_id"))
+    A range join over grids of several levels: a tile's box enters the grid whose cells are as long as the box or up
+    to twice that, so it meets at most eight cells, and an instance is looked up once in every level that some tile
+    has (a short list, from the exponents of their extents). The exact test follows."""
+    longest = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES])
+    leveled = tiles.withColumn("grid", F.when(longest > 0, F.ceil(F.log2(longest))).otherwise(0).cast("int"))
+    levels = sorted(r[0] for r in leveled.select("grid").distinct().collect())
+    if not levels:
+        return instances.select("instance_id", F.lit(None).cast("long").alias("tile_id"))
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("grid"))).cast("long")
+    for a in AXES:
+        leveled = leveled.select("*", F.explode(F.sequence(cell(F.col(f"min_{a}")), cell(F.col(f"max_{a}")))).alias(f"g{a}"))
+    keyed = instances.select("*", F.explode(F.array(*map(F.lit, levels))).alias("grid"))
+    keyed = keyed.select("*", *[cell(F.col(f"c{a}")).alias(f"g{a}") for a in AXES])
+    hits = keyed.join(leveled, ["grid", *[f"g{a}" for a in AXES]]).filter(centre_in("")).groupBy("instance_id").agg(F.min_by("tile_id", "preorder").alias("tile_id"))
     return instances.select("instance_id").join(hits, "instance_id", "left")
 
 
 def instances(objects: DataFrame, content: tuple[str, ...], least: int = 2) -> DataFrame:
-    """content, the number of placements, the smallest id and all ids, of contents placed at least twice."""
-    return objects.groupBy(*content).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.array_sort(F.collect_list("id")).alias("ids")).filter(F.col("n") >= least)
+    """content, the number of placements and the smallest id, of contents placed at least twice."""
+    return objects.groupBy(*content).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(F.col("n") >= least)
+
+
+#: Contents that are broadcast to their placements.
+FEW_CONTENTS = 200_000
+
+
+def placements(objects: DataFrame, groups: DataFrame, content: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """objects with first_id of their content's group (inner), or those without a group (left_anti). A content may be
+    placed very often: the groups go to the objects."""
+    g = groups.select(*[F.col(c).alias(f"__{c}") for c in content], "first_id")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in content]
+    joined = objects.join(F.broadcast(g) if g.count() <= FEW_CONTENTS else g, same, how)
+    return joined.select(*objects.columns, *(["first_id"] if how == "inner" else []))

@@ -34,7 +34,7 @@ def build(objects: DataFrame, content: tuple[str, ...], options: Options = Optio
     become instances; the others are divided by the tree."""
     o = options.clamped()
     groups = cut(spatial.instances(objects, content))
-    single = objects.join(groups.select(F.explode("ids").alias("id")), "id", "left_anti")
+    single = spatial.placements(objects, groups, content, "left_anti")
     placed = cut(spatial.tree(single, o.kind, o.levels, o.max_triangles, o.max_draw_calls))
     name = F.concat_ws("_", *[F.col(c).cast("string") for c in ("level", "x", "y", "z")])
     members = placed.withColumn("tile_id", name).join(objects, "id")

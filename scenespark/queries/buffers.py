@@ -56,7 +56,8 @@ def _attrs(g):
 
 
 _SET = "'brand' || CASE WHEN size % 2 = 0 THEN ',size' ELSE '' END || CASE WHEN size % 3 = 0 THEN ',type' ELSE '' END"
-R.add("a28_attribute_classes", "sc_geodes", lambda g: at.classes(_attrs(g)), f", k AS (SELECT {_SET} AS key_set, count(*) AS instances, string_agg(geode_id::VARCHAR, ',' ORDER BY geode_id) AS ids FROM sc_geodes GROUP BY 1) SELECT row_number() OVER (ORDER BY key_set) - 1 AS class_id, * FROM k")
+R.add("a28_attribute_classes", "sc_geodes", lambda g: at.members(_attrs(g)), f", k AS (SELECT geode_id AS id, {_SET} AS key_set FROM sc_geodes) SELECT id, dense_rank() OVER (ORDER BY key_set) - 1 AS class_id FROM k")
+R.add("a28_classes", "sc_geodes", lambda g: at.classes(_attrs(g)), f", k AS (SELECT {_SET} AS key_set, count(*) AS instances FROM sc_geodes GROUP BY 1) SELECT row_number() OVER (ORDER BY key_set) - 1 AS class_id, * FROM k")
 R.add("w10_class_ids", "sc_geodes", lambda g: at.key_sets(_attrs(g)).groupBy("key_set").agg(F.min("id").alias("first_id")), f"SELECT {_SET} AS key_set, min(geode_id) AS first_id FROM sc_geodes GROUP BY 1")
 R.add("j10_batch_table", "sc_geodes", lambda g: at.columns_of_classes(_attrs(g)).select("key_set", "key", F.sha2("values", 256).alias("values_sha256")), f", k AS (SELECT {_SET} AS s, geode_id AS id, brand, size, class FROM sc_geodes), r AS (SELECT s, id, 'brand' AS key, brand AS v FROM k UNION ALL SELECT s, id, 'size', size::VARCHAR FROM k WHERE size % 2 = 0 UNION ALL SELECT s, id, 'type', class FROM k WHERE size % 3 = 0) SELECT s AS key_set, key, sha256('[' || string_agg('\"' || v || '\"', ',' ORDER BY id) || ']') AS values_sha256 FROM r GROUP BY 1, 2")
 R.add("u2_attribute_set_equality", "sc_geodes", lambda g: at.key_sets(_attrs(g)).select("id", (F.array_sort(F.map_keys("attrs")) == F.array(F.lit("brand"), F.lit("size"))).alias("equal")), "SELECT geode_id AS id, size % 2 = 0 AND size % 3 <> 0 AS equal FROM sc_geodes")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenespark.operators import materials as mt
+from scenespark.operators.order import numbered
 from scenespark.queries import Registry
 
 R = Registry()
@@ -30,7 +31,7 @@ R.add("p26_v_flip", "sc_vertices", lambda v: v.select("prim_id", "vi", *[x.alias
 R.add("a25_image_dedup", "sc_images", mt.distinct_images, "SELECT image_id, min(image_id) OVER (PARTITION BY file <> '', CASE WHEN file = '' THEN sha256(text) ELSE file END) AS kept FROM sc_images")
 R.add("a32_image_hash", "sc_images", lambda i: i.select("image_id", F.sha2(F.concat_ws("|", F.col("w").cast("string"), F.col("h").cast("string"), F.col("format").cast("string"), "text"), 256).alias("hash")), "SELECT image_id, sha256(w || '|' || h || '|' || format || '|' || text) AS hash FROM sc_images")
 R.add("k10_texture_export", "sc_images", lambda i: i.select(F.sha2("text", 256).alias("hash"), "image_id").groupBy("hash").agg(F.min("image_id").alias("written")), "SELECT sha256(text) AS hash, min(image_id) AS written FROM sc_images GROUP BY 1")
-R.add("o3_image_order", "sc_images", lambda i: i.orderBy(F.desc("h"), F.desc("w"), "image_id").limit(200).select("image_id", "h", "w"), "SELECT image_id, h, w FROM sc_images ORDER BY h DESC, w DESC, image_id LIMIT 200")
+R.add("o3_image_order", "sc_images", lambda i: numbered(i.select("image_id", "h", "w"), F.desc("h"), F.desc("w"), "image_id"), "SELECT image_id, h, w, row_number() OVER (ORDER BY h DESC, w DESC, image_id) AS place FROM sc_images")
 R.add("j17_texture_reuse", "sc_images", lambda i: mt.dedup(i.filter("file <> ''").withColumn("wrap", _wrap(F.col("image_id"))), "image_id", ("file", "wrap")), "SELECT image_id, min(image_id) OVER (PARTITION BY file, image_id % 5) AS kept FROM sc_images WHERE file <> ''")
 
 

@@ -40,9 +40,9 @@ _POINTS = "x y z".split()
 
 
 def _quads(v):
-    four = v.filter("vi < 4").groupBy("prim_id").agg(F.count("*").alias("k"), *[F.max(F.when(F.col("vi") == k, F.col(a))).alias(f"{a}{k}") for k in range(4) for a in _POINTS]).filter("k = 4")
+    four = v.groupBy("prim_id", F.expr("vi div 4").alias("quad")).agg(F.count("*").alias("k"), *[F.max(F.when(F.col("vi") % 4 == k, F.col(a))).alias(f"{a}{k}") for k in range(4) for a in _POINTS]).filter("k = 4")
     pts = [tuple(F.col(f"{a}{k}") for a in _POINTS) for k in range(4)]
-    return four.select("prim_id", m.quad_split_02(*pts).alias("split_02"))
+    return four.select("prim_id", "quad", m.quad_split_02(*pts).alias("split_02"))
 
 
 def _normal_sql(a, b, c):
@@ -58,7 +58,7 @@ R.add(
     "p10_quad_split",
     "sc_vertices",
     _quads,
-    ", f AS (SELECT prim_id, " + ", ".join(f"max(CASE WHEN vi = {k} THEN {a} END) AS {a}{k}" for k in range(4) for a in _POINTS) + f" FROM sc_vertices WHERE vi < 4 GROUP BY prim_id HAVING count(*) = 4) SELECT prim_id, ({_agree_sql(0, 1, 2, 3)}) >= ({_agree_sql(1, 2, 3, 0)}) AS split_02 FROM f",
+    ", f AS (SELECT prim_id, vi // 4 AS quad, " + ", ".join(f"max(CASE WHEN vi % 4 = {k} THEN {a} END) AS {a}{k}" for k in range(4) for a in _POINTS) + f" FROM sc_vertices GROUP BY 1, 2 HAVING count(*) = 4) SELECT prim_id, quad, ({_agree_sql(0, 1, 2, 3)}) >= ({_agree_sql(1, 2, 3, 0)}) AS split_02 FROM f",
 )
 R.add(
     "p11_polygon_fan",
@@ -104,8 +104,8 @@ R.add(
     _layers,
     ", r AS (SELECT prim_id AS mesh, vi // 3 AS polygon, vi AS polygon_vertex, vi * 5 % 7 AS control_point, mode_no FROM sc_vertices JOIN sc_geodes ON prim_id = geode_id), k AS (SELECT *, CASE WHEN mode_no < 2 THEN control_point WHEN mode_no < 4 THEN polygon_vertex ELSE polygon END AS b FROM r), p AS (SELECT *, CASE WHEN mode_no % 2 = 1 THEN b * 11 % 60 ELSE b END AS place FROM k) SELECT mesh, polygon::BIGINT AS polygon, polygon_vertex, control_point, (place * 3 + mode_no)::INT AS value FROM p",
 )
-_skin = lambda v: (v.select(F.col("prim_id").alias("mesh"), (F.col("vi") % 9).alias("control_point"), F.col("vi")), v.filter("vi < 9").select(F.col("prim_id").alias("mesh"), F.col("vi").alias("control_point"), (F.col("s") % 10).alias("bone"), F.col("w").alias("weight")))
-_SKIN_SQL = "SELECT a.prim_id AS mesh, a.vi, b.s % 10 AS bone, b.w AS weight FROM sc_vertices a JOIN sc_vertices b ON a.prim_id = b.prim_id AND a.vi % 9 = b.vi"
+_skin = lambda v: (v.select(F.col("prim_id").alias("mesh"), (F.col("vi") % 9).alias("control_point"), F.col("vi")), v.select(F.col("prim_id").alias("mesh"), (F.col("vi") % 9).alias("control_point"), (F.col("s") % 10).alias("bone"), F.col("w").alias("weight")))
+_SKIN_SQL = "SELECT a.prim_id AS mesh, a.vi, b.s % 10 AS bone, b.w AS weight FROM sc_vertices a JOIN sc_vertices b ON a.prim_id = b.prim_id AND a.vi % 9 = b.vi % 9"
 R.add("j8_skin_weights", "sc_vertices", lambda v: m.skin_influences(*_skin(v)[::-1]), _SKIN_SQL)
 R.add("a36_bone_influences", "sc_vertices", lambda v: m.skin_influences(*_skin(v)[::-1]).groupBy("mesh", "bone").agg(F.array_join(F.array_sort(F.collect_list("vi")), ",").alias("vertices"), F.round(F.sum("weight"), 6).alias("weight")), f", k AS ({_SKIN_SQL}) SELECT mesh, bone, string_agg(vi::VARCHAR, ',' ORDER BY vi) AS vertices, round(sum(weight), 6) AS weight FROM k GROUP BY mesh, bone")
 R.add(

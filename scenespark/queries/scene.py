@@ -40,7 +40,7 @@ R.add("s2_node_scan", "sc_nodes", lambda n: sc.paths(n).select("node_id", "depth
 R.add("a31_max_level", "sc_nodes", lambda n: sc.subtree_max(n.withColumn("level", F.col("node_id") % 50), "level"), ", walk AS (SELECT node_id, node_id AS up FROM sc_nodes UNION ALL SELECT w.node_id, n.parent_id FROM walk w JOIN sc_nodes n ON n.node_id = w.up WHERE n.parent_id IS NOT NULL) SELECT up AS node_id, max(node_id % 50) AS max_level FROM walk GROUP BY up")
 R.add("a35_descendants", "sc_nodes", lambda n: sc.ancestors(n).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("below")), ", walk AS (SELECT node_id, node_id AS up FROM sc_nodes UNION ALL SELECT w.node_id, n.parent_id FROM walk w JOIN sc_nodes n ON n.node_id = w.up WHERE n.parent_id IS NOT NULL) SELECT up AS node_id, string_agg(node_id::VARCHAR, ',' ORDER BY node_id) AS below FROM walk GROUP BY up")
 R.add("j19_ancestor", "sc_nodes", lambda n: sc.nearest_ancestor(n, F.col("kind") != "skeleton"), _WALK.format(root="NULL::BIGINT AS found", step="CASE WHEN w.kind <> 'skeleton' THEN w.node_id ELSE w.found END") + " SELECT node_id, found AS ancestor_id FROM walk")
-R.add("p15_prune", "sc_nodes sc_geodes", lambda n, g: sc.live_nodes(n, g.filter("geode_id % 7 = 3 AND size < 10")).select("node_id", "kind"), ", walk AS (SELECT DISTINCT n.node_id FROM sc_nodes n JOIN sc_geodes g ON g.node_id = n.node_id WHERE geode_id % 7 = 3 AND size < 10 UNION SELECT n.parent_id FROM walk w JOIN sc_nodes n ON n.node_id = w.node_id WHERE n.parent_id IS NOT NULL) SELECT node_id, kind FROM sc_nodes WHERE node_id IN (SELECT node_id FROM walk)")
+R.add("p15_prune", "sc_nodes sc_geodes", lambda n, g: sc.live_nodes(n, g).select("node_id", "kind"), ", walk AS (SELECT DISTINCT n.node_id FROM sc_nodes n JOIN sc_geodes g ON g.node_id = n.node_id UNION SELECT n.parent_id FROM walk w JOIN sc_nodes n ON n.node_id = w.node_id WHERE n.parent_id IS NOT NULL) SELECT node_id, kind FROM sc_nodes WHERE node_id IN (SELECT node_id FROM walk)")
 R.add("p18_valid_tree", "sc_nodes", lambda n: sc.valid_tree(n.select(F.col("node_id").alias("tile_id"), "parent_id", F.when(F.col("node_id") >= 1000, 0.0).otherwise(F.col("node_id") % 9).alias("geometric_error"))), ", t AS (SELECT node_id, parent_id, CASE WHEN node_id >= 1000 THEN 0 ELSE node_id % 9 END AS e FROM sc_nodes) SELECT node_id AS tile_id, CASE WHEN NOT EXISTS (SELECT 1 FROM t c WHERE c.parent_id = t.node_id) THEN e = 0 ELSE NOT EXISTS (SELECT 1 FROM t c WHERE c.parent_id = t.node_id AND c.e >= t.e) END AS valid FROM t")
 R.add("w1_batch_ids", "sc_nodes sc_geodes", lambda n, g: sc.batch_ids(g, sc.paths(n)).select("geode_id", "batch_id"), _WALK.format(root="lpad(node_id::VARCHAR, 12, '0') AS k", step="w.k || '/' || lpad(n.node_id::VARCHAR, 12, '0')") + " SELECT geode_id, row_number() OVER (ORDER BY k, geode_id) - 1 AS batch_id FROM sc_geodes g JOIN walk w ON w.node_id = g.node_id")
 R.add("w2_parent_batch", "sc_nodes sc_geodes", lambda n, g: sc.batch_ids(g, sc.paths(n)).select("geode_id", "parent_batch_id"), _WALK.format(root="lpad(node_id::VARCHAR, 12, '0') AS k", step="w.k || '/' || lpad(n.node_id::VARCHAR, 12, '0')") + ", b AS (SELECT geode_id, g.node_id, row_number() OVER (ORDER BY k, geode_id) - 1 AS batch_id FROM sc_geodes g JOIN walk w ON w.node_id = g.node_id) SELECT geode_id, greatest(min(batch_id) OVER (PARTITION BY node_id) - 1, 0) AS parent_batch_id FROM b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scenespark.operators import lod
 from scenespark.operators import metrics as m
 from scenespark.operators import spatial as sp
+from scenespark.operators.order import numbered
 from scenespark.plans import tiler
 from scenespark.queries import Registry
 from scenespark.queries.metrics import BOX_SQL
@@ -66,14 +67,16 @@ R.add(
     _SIDES
     + f", t AS (SELECT *, {_sa('').replace('max_', 'h').replace('min_', 'l')} AS area FROM w), c AS (SELECT axis, bucket, round(1 + 1.5 * ({_sa('left_')} / area * left_count + {_sa('right_')} / area * right_count), 9) AS cost, n, CASE axis WHEN 0 THEN lx + (hx - lx) * (bucket + 1) / 12 WHEN 1 THEN ly + (hy - ly) * (bucket + 1) / 12 ELSE lz + (hz - lz) * (bucket + 1) / 12 END AS position FROM s, t WHERE left_count > 0 AND right_count > 0) SELECT axis, round(position, 6) AS position, round(cost, 4) AS cost, cost < 1.5 * n AS pays FROM c ORDER BY c.cost, axis, bucket LIMIT 1",
 )
-_inst = lambda g: g.filter("geode_id % 3 = 0").select(F.col("geode_id").alias("instance_id"), "cx", "cy", "cz")
-_tile = lambda g: objects(g).filter("id % 5 = 0").select(F.col("id").alias("tile_id"), (F.col("id") * 7 % 1009).alias("preorder"), *[(F.col(f"c{a}") + s * 6).alias(f"{n}_{a}") for a in "xyz" for n, s in (("min", -1), ("max", 1))])
-R.add("j2_instance_to_tile", "sc_geodes", lambda g: sp.first_tile_of(_inst(g), _tile(g)), ", i AS (SELECT * FROM sc_geodes WHERE geode_id % 3 = 0), t AS (SELECT *, geode_id * 7 % 1009 AS p FROM sc_geodes WHERE geode_id % 5 = 0), h AS (SELECT i.geode_id AS i, arg_min(t.geode_id, p) AS t FROM i JOIN t ON abs(i.cx - t.cx) <= 6 AND abs(i.cy - t.cy) <= 6 AND abs(i.cz - t.cz) <= 6 GROUP BY 1) SELECT i.geode_id AS instance_id, h.t AS tile_id FROM i LEFT JOIN h ON h.i = i.geode_id")
-R.add("j12_unmatched", "sc_geodes", lambda g: sp.first_tile_of(_inst(g), _tile(g).filter("preorder < 100")).filter("tile_id IS NULL").select("instance_id"), ", i AS (SELECT * FROM sc_geodes WHERE geode_id % 3 = 0), t AS (SELECT * FROM sc_geodes WHERE geode_id % 5 = 0 AND geode_id * 7 % 1009 < 100) SELECT geode_id AS instance_id FROM i WHERE NOT EXISTS (SELECT 1 FROM t WHERE abs(i.cx - t.cx) <= 6 AND abs(i.cy - t.cy) <= 6 AND abs(i.cz - t.cz) <= 6)")
+_inst = lambda g: g.select(F.col("geode_id").alias("instance_id"), "cx", "cy", "cz")
+_tile = lambda g, half=6.0: objects(g).select(F.col("id").alias("tile_id"), (F.col("id") * 7 % 1009 * 100_000 + F.col("id")).alias("preorder"), *[(F.col(f"c{a}") + s * half).alias(f"{n}_{a}") for a in "xyz" for n, s in (("min", -1), ("max", 1))])
+R.add("j2_instance_to_tile", "sc_geodes", lambda g: sp.first_tile_of(_inst(g), _tile(g)), ", h AS (SELECT i.geode_id AS i, arg_min(t.geode_id, t.geode_id * 7 % 1009 * 100000 + t.geode_id) AS t FROM sc_geodes i JOIN sc_geodes t ON abs(i.cx - t.cx) <= 6 AND abs(i.cy - t.cy) <= 6 AND abs(i.cz - t.cz) <= 6 GROUP BY 1) SELECT i.geode_id AS instance_id, h.t AS tile_id FROM sc_geodes i LEFT JOIN h ON h.i = i.geode_id")
+# tiles reach as far as their object's radius along z only, so some instances have none
+_flat = lambda g: _tile(g, F.col("radius") / 4).withColumns({"min_x": F.col("min_x") + 0.25, "max_x": F.col("max_x") + 0.25})
+R.add("j12_unmatched", "sc_geodes", lambda g: sp.first_tile_of(_inst(g), _flat(g)).filter("tile_id IS NULL").select("instance_id"), "SELECT geode_id AS instance_id FROM sc_geodes i WHERE NOT EXISTS (SELECT 1 FROM sc_geodes t WHERE abs(i.cx - (t.cx + 0.25)) <= t.radius / 4 AND abs(i.cy - t.cy) <= t.radius / 4 AND abs(i.cz - t.cz) <= t.radius / 4)")
 R.add("a23_instancing", "sc_geodes", lambda g: sp.instances(g.withColumnRenamed("geode_id", "id"), ("class", "size", "brand")).select("class", "size", "brand", "n", "first_id"), "SELECT class, size, brand, count(*) AS n, min(geode_id) AS first_id FROM sc_geodes GROUP BY class, size, brand HAVING count(*) > 1")
-R.add("j13_duplicate_geodes", "sc_geodes", lambda g: sp.instances(g.withColumnRenamed("geode_id", "id"), ("class", "size", "brand")).select(F.col("first_id"), F.explode("ids").alias("geode_id")).filter("geode_id <> first_id"), "SELECT f AS first_id, geode_id FROM (SELECT geode_id, min(geode_id) OVER (PARTITION BY class, size, brand) AS f FROM sc_geodes) x WHERE f <> geode_id")
-R.add("o1_radius_order", "sc_geodes", lambda g: g.orderBy(F.desc("radius"), "geode_id").limit(100).select("geode_id", "radius"), "SELECT geode_id, radius FROM sc_geodes ORDER BY radius DESC, geode_id LIMIT 100")
-R.add("o2_instance_order", "sc_geodes", lambda g: g.filter("geode_id % 3 = 0").orderBy(F.desc("radius"), "geode_id").limit(100).select("geode_id", "radius"), "SELECT geode_id, radius FROM sc_geodes WHERE geode_id % 3 = 0 ORDER BY radius DESC, geode_id LIMIT 100")
+R.add("j13_duplicate_geodes", "sc_geodes", lambda g: sp.placements(g, sp.instances(g.withColumnRenamed("geode_id", "id"), ("class", "size", "brand")), ("class", "size", "brand")).filter("geode_id <> first_id").select("first_id", "geode_id"), "SELECT f AS first_id, geode_id FROM (SELECT geode_id, min(geode_id) OVER (PARTITION BY class, size, brand) AS f FROM sc_geodes) x WHERE f <> geode_id")
+R.add("o1_radius_order", "sc_geodes", lambda g: numbered(g.select("geode_id", "radius"), F.desc("radius"), "geode_id"), "SELECT geode_id, radius, row_number() OVER (ORDER BY radius DESC, geode_id) AS place FROM sc_geodes")
+R.add("o2_instance_order", "sc_geodes", lambda g: numbered(sp.placements(g, sp.instances(g.withColumnRenamed("geode_id", "id"), ("class", "size")), ("class", "size")).select("geode_id", "radius"), F.desc("radius"), "geode_id"), "SELECT geode_id, radius, row_number() OVER (ORDER BY radius DESC, geode_id) AS place FROM (SELECT *, count(*) OVER (PARTITION BY class, size) AS n FROM sc_geodes) x WHERE n > 1")
 R.add("o7_first_match", "sc_geodes", lambda g: g.groupBy("class").agg(F.min(F.when(F.col("size") > 40, F.col("geode_id"))).alias("first_id")), "SELECT class, min(geode_id) FILTER (size > 40) AS first_id FROM sc_geodes GROUP BY class")
 
 
@@ -81,13 +84,14 @@ def _greedy(g):
     return sp.greedy_select(objects(g), ("node_id",), 30_000, 5)
 
 
-R.add("o4_greedy_select", "sc_geodes", lambda g: _greedy(g).select("node_id", F.size("accepted").cast("long").alias("accepted"), F.size("rejected").cast("long").alias("rejected"), F.aggregate("accepted", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("id_sum")))
-R.add("u4_difference", "sc_geodes", lambda g: objects(g).select("id").join(_greedy(g).select(F.explode("accepted").alias("id")), "id", "left_anti"))
+_FOLD = OBJ_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY radius DESC, id) AS rn FROM o), f AS (SELECT node_id, rn, id, triangles <= 30000 AS took, CASE WHEN triangles <= 30000 THEN triangles ELSE 0 END AS tri, CASE WHEN triangles <= 30000 THEN [key] ELSE [] END AS keys FROM r WHERE rn = 1 UNION ALL SELECT r.node_id, r.rn, r.id, f.tri + triangles <= 30000 AND (len(f.keys) < 5 OR list_contains(f.keys, key)), CASE WHEN f.tri + triangles <= 30000 AND (len(f.keys) < 5 OR list_contains(f.keys, key)) THEN f.tri + triangles ELSE f.tri END, CASE WHEN f.tri + triangles <= 30000 AND len(f.keys) < 5 AND NOT list_contains(f.keys, key) THEN list_append(f.keys, key) ELSE f.keys END FROM f JOIN r ON r.node_id = f.node_id AND r.rn = f.rn + 1), n AS (SELECT node_id, bool_or(took) AS hit FROM f GROUP BY 1), k AS (SELECT f.node_id, id, took OR (NOT hit AND rn = 1) AS accepted FROM f JOIN n ON n.node_id = f.node_id)"
+R.add("o4_greedy_select", "sc_geodes", lambda g: _greedy(g).select("node_id", "id", "accepted"), _FOLD + " SELECT * FROM k")
+R.add("u4_difference", "sc_geodes", lambda g: objects(g).select("id").join(_greedy(g).filter("accepted").select("id"), "id", "left_anti"), _FOLD + " SELECT id FROM k WHERE NOT accepted")
 R.add("t1_quadtree", "sc_geodes", lambda g: sp.tree(objects(g), "quadtree", 4, 20_000, 20))
 R.add("t2_octree", "sc_geodes", lambda g: sp.tree(objects(g), "octree", 3, 20_000, 20))
-R.add("t3_kdtree", "sc_geodes", lambda g: sp.kd_tree(objects(g), 5, 100))
+R.add("t3_kdtree", "sc_geodes", lambda g: sp.kd_tree(objects(g), 5, 20_000, 20))
 R.add("t4_instance_tiles", "sc_geodes", lambda g: sp.instances(g.withColumnRenamed("geode_id", "id"), ("class", "size", "brand")).select("first_id", F.lit(0).alias("level"), F.col("n").alias("placements")), "SELECT min(geode_id) AS first_id, 0 AS level, count(*) AS placements FROM sc_geodes GROUP BY class, size, brand HAVING count(*) > 1")
-R.add("t6_tile_builder", "sc_geodes", lambda g: sp.tree(objects(g).join(sp.instances(objects(g), ("class", "size", "brand")).select(F.explode("ids").alias("id")), "id", "left_anti"), "quadtree", 4, 20_000, 20).groupBy("level", "x", "y", "z").agg(F.count("*").alias("members")))
+R.add("t6_tile_builder", "sc_geodes", lambda g: sp.tree(sp.placements(objects(g), sp.instances(objects(g), ("class", "size", "brand")), ("class", "size", "brand"), "left_anti"), "quadtree", 4, 20_000, 20).groupBy("level", "x", "y", "z").agg(F.count("*").alias("members")))
 
 _diag = lambda g: g.select(F.col("geode_id").alias("tile_id"), (F.col("radius") * 20).alias("diagonal"))
 R.add("t8_lod_parameters", "sc_geodes", lambda g: lod.parameters(_diag(g)), "SELECT geode_id AS tile_id, lod, CASE lod WHEN 2 THEN 0.25 WHEN 1 THEN 0.5 ELSE 1 END::DOUBLE AS sample_ratio, CASE lod WHEN 2 THEN least(5.0 / (radius * 20), 0.3) WHEN 1 THEN least(0.6 / (radius * 20), 0.075) ELSE 0.01 / (radius * 20) END AS target_error, CASE lod WHEN 2 THEN 0.25 WHEN 1 THEN 0.5 ELSE 1 END::DOUBLE AS texture_factor FROM sc_geodes, (VALUES (0), (1), (2)) l(lod)")

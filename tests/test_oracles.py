@@ -1,4 +1,4 @@
-"""Queries against their DuckDB oracles on the smallest tables; a query of each family, or all with ALL_ORACLES=1."""
+"""All queries against their DuckDB oracles on the smallest tables; FEW_ORACLES=1 runs one of each family."""
 
 import math
 import os
@@ -11,7 +11,7 @@ from scenespark import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = ["a1_triangle_count", "a2_drawcalls", "a6_weighted_diagonal", "a12_areas", "a24_material_dedup", "a25_image_dedup", "a27_tangents", "a28_attribute_classes", "j2_instance_to_tile", "j6_forward_asof", "j7_layer_lookup", "o11_best_split", "p1_world_matrix", "p4_euler_quat", "p9_triangulate", "p18_valid_tree", "s14_tileset_scan", "w5_aligned_offsets", "w7_control_points", "t7_lod_chain", "t10_geometric_error", "f17_quantize"]
-NAMES = list(catalog.oracle_sql()) if os.environ.get("ALL_ORACLES") else SOME
+NAMES = SOME if os.environ.get("FEW_ORACLES") else list(catalog.oracle_sql())
 
 
 def text(v):
