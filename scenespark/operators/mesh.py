@@ -161,38 +161,53 @@ def blend_positions(vertices: DataFrame, targets: DataFrame, cols: tuple[str, ..
     return joined.select(*[F.coalesce(f"to_{x}", x).alias(x) if x in cols else F.col(x) for x in vertices.columns])
 
 
-SIMPLIFIED = "prim_id long, i0 long, i1 long, i2 long"
+SIMPLIFIED = "prim_id long, ti long, i0 long, i1 long, i2 long, error double, before long, diagonal double"
 
 
-def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float) -> DataFrame:
-    """prim_id, triangles before and after, and the error: vertices are clustered on a grid whose cell
-    grows until at most ratio of the triangles remain; the error is the longest move, per diagonal.
+def simplified(triangles: DataFrame, vertices: DataFrame, ratio: float) -> DataFrame:
+    """The triangles that are left of each primitive (SIMPLIFIED): vertices are clustered on a grid whose cell grows
+    until at most ratio of the triangles remain, and a cluster keeps its vertex nearest to its mean.
 
-    Vertex clustering is chosen for the contract (ratio and error bound), not for equal bytes. A primitive's
-    vertices and triangles are one group; primitives are bounded by the tiling that comes first."""
+    error is the longest move of a vertex, per diagonal. A primitive of which nothing is left gives one row with ti -1
+    and no corner. Vertex clustering is chosen for the contract (ratio and error bound), not for equal bytes. A
+    primitive's vertices and triangles are one group; primitives are bounded by the tiling that comes first."""
     import numpy as np
     import pandas as pd
 
     from scenespark.session import prepare
 
     prepare(triangles.sparkSession)
-    schema = "prim_id long, before long, after long, error double"
 
     def run(key: tuple, tri: pd.DataFrame, ver: pd.DataFrame) -> pd.DataFrame:
-        t = tri[["i0", "i1", "i2"]].to_numpy()
         ver = ver.sort_values("vi")
+        names = ver["vi"].to_numpy()
+        t = np.searchsorted(names, tri.sort_values("ti")[["i0", "i1", "i2"]].to_numpy()).reshape(-1, 3)
         p = ver[["x", "y", "z"]].to_numpy()
         low, span = p.min(0) if len(p) else 0, float(np.linalg.norm(p.max(0) - p.min(0))) if len(p) else 0.0
-        best, error, cells = len(t), 0.0, 1024
-        while best > ratio * len(t) and cells >= 1 and span > 0:
-            size = span / cells
-            _, cell = np.unique(np.floor((p - low) / size).astype(np.int64), axis=0, return_inverse=True)
+        left, error, cells = t, 0.0, 1024
+        while len(left) > ratio * len(t) and cells >= 1 and span > 0:
+            _, cell = np.unique(np.floor((p - low) / (span / cells)).astype(np.int64), axis=0, return_inverse=True)
             cell = cell.reshape(-1)
             mean = np.stack([np.bincount(cell, weights=p[:, k]) / np.bincount(cell) for k in range(3)], 1)
-            q = cell[t]
-            live = (q[:, 0] != q[:, 1]) & (q[:, 1] != q[:, 2]) & (q[:, 0] != q[:, 2])
-            best, error = int(live.sum()), float(np.linalg.norm(p - mean[cell], axis=1).max() / span)
+            order = np.lexsort((np.arange(len(p)), np.linalg.norm(p - mean[cell], axis=1), cell))
+            kept = order[np.unique(cell[order], return_index=True)[1]][cell]
+            q = kept[t]
+            left = q[(q[:, 0] != q[:, 1]) & (q[:, 1] != q[:, 2]) & (q[:, 0] != q[:, 2])]
+            error = float(np.linalg.norm(p - p[kept], axis=1).max() / span)
             cells //= 2
-        return pd.DataFrame({"prim_id": [int(key[0])], "before": [len(t)], "after": [best], "error": [error]})
+        rows = names[left] if len(left) else np.full((1, 3), -1)
+        out = pd.DataFrame({"prim_id": int(key[0]), "ti": np.arange(len(rows)) if len(left) else [-1], "i0": rows[:, 0], "i1": rows[:, 1], "i2": rows[:, 2]})
+        return out.assign(error=error, before=len(t), diagonal=span)
+
+    return triangles.groupBy("prim_id").cogroup(vertices.groupBy("prim_id")).applyInPandas(run, SIMPLIFIED)
+
+
+def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float) -> DataFrame:
+    """prim_id, triangles before and after, and the error per diagonal of ``simplified``."""
+    rows = simplified(triangles, vertices, ratio)
+    return rows.groupBy("prim_id").agg(F.max("before").alias("before"), F.count_if(F.col("ti") >= 0).alias("after"), F.max("error").alias("error"))
+
 
-    return triangles.groupBy("prim_id").cogroup(vertices.groupBy("prim_id")).applyInPandas(run, schema)
+def lod_errors(rows: DataFrame) -> DataFrame:
+    """prim_id, lod_error: the error of a simplified primitive as a length, its share times the diagonal."""
+    return rows.groupBy("prim_id").agg((F.max("error") * F.max("diagonal")).alias("lod_error"))

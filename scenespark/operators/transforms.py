@@ -75,6 +75,24 @@ def ecef_frame(lng: Column, lat: Column, alt: Column) -> Column:
 
 
 def decompose(m: Column) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
-    """Translation and scale of a matrix without shear; the rotation is what remains of the rows."""
+    """Translation and scale of a matrix without shear; a mirrored matrix gets a negative scale along x."""
     rows = [tuple(m[4 * i + j] for j in range(3)) for i in range(3)]
-    return tuple(m[12 + j] for j in range(3)), tuple(la.norm(r) for r in rows)
+    mirrored = F.when(la.dot(la.cross(rows[0], rows[1]), rows[2]) < 0, -1.0).otherwise(1.0)
+    size = [la.norm(r) for r in rows]
+    return tuple(m[12 + j] for j in range(3)), (size[0] * mirrored, size[1], size[2])
+
+
+def rotation_of(m: Column) -> Column:
+    """The unit quaternion array(x, y, z, w) of a matrix without shear, with w >= 0: from the largest of the four."""
+
+    def body(r: Column) -> Column:
+        a = [[r[3 * i + j] for j in range(3)] for i in range(3)]
+        w, x, y, z = (1 + a[0][0] + a[1][1] + a[2][2], 1 + a[0][0] - a[1][1] - a[2][2], 1 - a[0][0] + a[1][1] - a[2][2], 1 - a[0][0] - a[1][1] + a[2][2])
+        yz, zx, xy = a[1][2] - a[2][1], a[2][0] - a[0][2], a[0][1] - a[1][0]
+        syz, szx, sxy = a[1][2] + a[2][1], a[2][0] + a[0][2], a[0][1] + a[1][0]
+        largest = F.greatest(w, x, y, z)
+        rows = F.when(w == largest, F.array(yz, zx, xy, w)).when(x == largest, F.array(x, sxy, szx, yz)).when(y == largest, F.array(sxy, y, syz, zx)).otherwise(F.array(szx, syz, z, xy))
+        return la.let(rows, lambda q: la.let(F.sqrt(sum(q[k] * q[k] for k in range(1, 4)) + q[0] * q[0]) * F.when(q[3] < 0, -1.0).otherwise(1.0), lambda n: F.transform(q, lambda v: v / n)))
+
+    _, scale = decompose(m)
+    return la.let(F.array(*[m[4 * i + j] / scale[i] for i in range(3) for j in range(3)]), body)

@@ -9,28 +9,43 @@ from scenespark.functions import linalg as la
 from scenespark.operators import attributes as at
 from scenespark.operators import gltf as gl
 from scenespark.operators import metrics as m
+from scenespark.operators import model as md
 from scenespark.operators import pack
 from scenespark.queries import Registry
 from scenespark.queries.metrics import BOX_SQL
 from scenespark.sources import containers as ct
+from scenespark.sources import gltf as gf
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
-R.add("a21_merge_groups", "sc_geodes", lambda g: g.groupBy("node_id", "material_id", (F.col("size") % 2).alias("attributes")).agg(F.count("*").alias("primitives")), "SELECT node_id, material_id, size % 2 AS attributes, count(*) AS primitives FROM sc_geodes GROUP BY 1, 2, 3")
-R.add("a22_merge_transforms", "sc_geodes", lambda g: g.groupBy("node_id").agg(F.count("*").alias("geodes"), F.min("geode_id").alias("first_id")), "SELECT node_id, count(*) AS geodes, min(geode_id) AS first_id FROM sc_geodes GROUP BY 1")
-R.add("k14_merge_meshes", "sc_geodes sc_counts", lambda g, c: g.join(c, F.col("prim_id") == F.col("geode_id")).groupBy("node_id", "material_id").agg(F.sum("n").alias("vertices"), F.max("n").alias("largest")), "SELECT node_id, material_id, sum(n)::BIGINT AS vertices, max(n) AS largest FROM sc_geodes JOIN sc_counts ON prim_id = geode_id GROUP BY 1, 2")
-R.add("p20_merge_compatible", "sc_geodes", lambda g: g.groupBy("node_id", "material_id").agg((F.count_distinct("mode_no", F.col("size") % 3) == 1).alias("compatible")), "SELECT node_id, material_id, count(DISTINCT (mode_no, size % 3)) = 1 AS compatible FROM sc_geodes GROUP BY 1, 2")
 _B = f", b AS ({BOX_SQL}), c AS (SELECT b.*, n, material_id FROM b JOIN sc_counts k ON k.prim_id = b.prim_id JOIN sc_geodes ON geode_id = b.prim_id)"
 _LO, _HI = ["min_x", "min_y", "min_z"], ["max_x", "max_y", "max_z"]
 R.add("a17_accessor_merge", "sc_vertices sc_counts sc_geodes", lambda v, c, g: gl.merge_accessors(m.boxes(v).join(c.withColumnRenamed("n", "count"), "prim_id").join(g, F.col("prim_id") == F.col("geode_id")), ("material_id",), _LO, _HI), _B + " SELECT material_id, sum(n)::BIGINT AS count, min(min_x) AS min_x, min(min_y) AS min_y, min(min_z) AS min_z, max(max_x) AS max_x, max(max_y) AS max_y, max(max_z) AS max_z FROM c GROUP BY 1")
-R.add("p19_quantisable", "sc_vertices", lambda v: v.groupBy("prim_id").agg(F.bool_and(F.size(F.array("x", "y", "z")) == 3).alias("position"), F.bool_and(F.size(F.array("u", "v")) == 2).alias("texcoord")), "SELECT prim_id, true AS position, true AS texcoord FROM sc_vertices GROUP BY 1")
+
+
+def prim_accessors(v, g):
+    """The accessors of the geodes' primitives; those of even size have texture coordinates."""
+    return md.accessors(v, g.select(F.col("geode_id").alias("prim_id"), (F.col("size") % 2 == 0).alias("textured")))
+
+
+_ACC = ", b AS (SELECT prim_id, count(*) AS n, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS hx, max(y) AS hy, max(z) AS hz, min(u) AS lu, min(v) AS lv, max(u) AS hu, max(v) AS hv FROM sc_vertices GROUP BY 1), w AS (SELECT b.*, material_id, size % 2 = 0 AS textured, CASE WHEN n <= 255 THEN 5121 WHEN n <= 65535 THEN 5123 ELSE 5125 END AS ic FROM b JOIN sc_geodes ON geode_id = prim_id), acc AS (SELECT prim_id, material_id, 0 AS slot, 'POSITION' AS attribute, 'VEC3' AS type, 5126 AS component, n AS count, [lx, ly, lz] AS min, [hx, hy, hz] AS max, n * 12 AS bytes FROM w UNION ALL SELECT prim_id, material_id, 1, 'TEXCOORD_0', 'VEC2', 5126, n, [lu, lv], [hu, hv], n * 8 FROM w WHERE textured UNION ALL SELECT prim_id, material_id, 2, '_BATCHID', 'SCALAR', 5126, n, NULL, NULL, n * 4 FROM w UNION ALL SELECT prim_id, material_id, 3, 'indices', 'SCALAR', ic, n, NULL, NULL, n * CASE ic WHEN 5121 THEN 1 WHEN 5123 THEN 2 ELSE 4 END FROM w), vw AS (SELECT material_id AS buffer_id, prim_id, slot, attribute, count, bytes, (row_number() OVER (PARTITION BY material_id ORDER BY prim_id, slot) - 1) AS view_id, (sum((bytes + 3) // 4 * 4) OVER (PARTITION BY material_id ORDER BY prim_id, slot ROWS UNBOUNDED PRECEDING) - (bytes + 3) // 4 * 4)::BIGINT AS \"offset\" FROM acc)"
+_byte = lambda v, g: prim_accessors(v, g).join(g.select(F.col("geode_id").alias("prim_id"), F.col("material_id").alias("buffer_id")), "prim_id")
+R.add("p19_quantisable", "sc_vertices sc_geodes", lambda v, g: md.quantisable(prim_accessors(v, g)), _ACC + " SELECT prim_id, bool_or(attribute = 'POSITION' AND len(min) = 3) AS position, bool_or(attribute = 'TEXCOORD_0' AND len(min) = 2) AS texcoord FROM acc GROUP BY 1")
 R.add("w5_aligned_offsets", "sc_counts sc_geodes", lambda c, g: gl.aligned_offsets(c.join(g, F.col("prim_id") == F.col("geode_id")).select("material_id", "prim_id", (F.col("n") * 3).alias("bytes")), ("material_id",), "prim_id", "bytes"), "SELECT material_id, prim_id, n * 3 AS bytes, (sum((n * 3 + 3) // 4 * 4) OVER (PARTITION BY material_id ORDER BY prim_id) - (n * 3 + 3) // 4 * 4)::BIGINT AS offset FROM sc_counts JOIN sc_geodes ON prim_id = geode_id")
-_K1 = ", v AS (SELECT prim_id, n, slot, attribute, n * s AS bytes FROM sc_counts, (VALUES (0, 'POSITION', 12), (1, 'TEXCOORD_0', 8), (2, '_BATCHID', 4)) a(slot, attribute, s))"
-R.add("k1_scene_buffers", "sc_vertices sc_counts", lambda v, c: gl.scene_buffers(v), _K1 + " SELECT prim_id, slot, attribute, n AS count, bytes, (sum(bytes) OVER (PARTITION BY prim_id ORDER BY slot) - bytes)::BIGINT AS offset FROM v")
-R.add("j4_accessor_deref", "sc_vertices sc_counts", lambda v, c: (lambda b: b.filter("attribute = 'TEXCOORD_0'").select("prim_id", "offset", "count").join(b.groupBy("prim_id").agg(F.sum("bytes").alias("buffer_bytes")), "prim_id"))(gl.scene_buffers(v)), "SELECT prim_id, n * 12 AS offset, n AS count, (n * 24)::BIGINT AS buffer_bytes FROM sc_counts")
-R.add("j18_dictionary", "sc_geodes", lambda g: g.withColumn("view_id", (F.dense_rank().over(Window.partitionBy("node_id").orderBy("material_id")) - 1).cast("long")).select("geode_id", "view_id"), "SELECT geode_id, dense_rank() OVER (PARTITION BY node_id ORDER BY material_id) - 1 AS view_id FROM sc_geodes")
-R.add("o8_view_removal", "sc_counts", lambda c: c.filter("n % 3 <> 0").groupBy((F.col("prim_id") % 10).alias("model")).agg(F.count("*").alias("kept"), F.max("prim_id").alias("last")), "SELECT prim_id % 10 AS model, count(*) AS kept, max(prim_id) AS last FROM sc_counts WHERE n % 3 <> 0 GROUP BY 1")
+R.add("k1_scene_buffers", "sc_vertices sc_geodes", prim_accessors, _ACC + " SELECT prim_id, slot, attribute, type, component, count, min, max, bytes FROM acc")
+R.add("k1_buffer_views", "sc_vertices sc_geodes", lambda v, g: md.views(_byte(v, g)), _ACC + ' SELECT buffer_id, prim_id, slot, view_id, "offset", bytes FROM vw')
+R.add("j4_accessor_deref", "sc_vertices sc_geodes", lambda v, g: (lambda a: md.dereference(a.drop("buffer_id"), md.views(a), md.buffers(a)).select("prim_id", "attribute", "buffer_id", "view_id", "offset", "count", "buffer_bytes"))(_byte(v, g)), _ACC + ' SELECT prim_id, attribute, buffer_id, view_id, "offset", count, (sum((bytes + 3) // 4 * 4) OVER (PARTITION BY buffer_id))::BIGINT AS buffer_bytes FROM vw')
+
+
+def _with_values(v, g):
+    """Accessors beside their positions and indices with their values as text: what their bytes are."""
+    xyz = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("vi", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])))
+    return prim_accessors(v, g).filter("slot <> 1").join(v.groupBy("prim_id").agg(xyz.alias("xyz")), "prim_id")
+
+
+R.add("j18_dictionary", "sc_vertices sc_geodes", lambda v, g: md.shared_views(_with_values(v, g), F.when(F.col("slot") == 0, F.col("xyz")).otherwise(F.lit(""))), _ACC + ", p AS (SELECT prim_id, list([x, y, z] ORDER BY vi) AS xyz FROM sc_vertices GROUP BY 1) SELECT prim_id, slot, min(prim_id) OVER (PARTITION BY slot, type, component, count, CASE WHEN slot = 0 THEN xyz END) AS owner FROM acc JOIN p USING (prim_id) WHERE slot <> 1")
+R.add("o8_view_removal", "sc_vertices sc_geodes", lambda v, g: md.without_views(md.views(_byte(v, g)), (F.col("slot") == 1) | (F.col("prim_id") % 3 == 0)), _ACC + ', r AS (SELECT *, slot = 1 OR prim_id % 3 = 0 AS gone FROM vw) SELECT buffer_id, prim_id, slot, view_id, "offset", bytes, (row_number() OVER w - 1) AS new_id, (sum((bytes + 3) // 4 * 4) OVER (PARTITION BY buffer_id ORDER BY view_id ROWS UNBOUNDED PRECEDING) - (bytes + 3) // 4 * 4)::BIGINT AS new_offset FROM r WHERE NOT gone WINDOW w AS (PARTITION BY buffer_id ORDER BY view_id)')
 R.add("w6_i3dm_offsets", "sc_counts", lambda c: c.select("prim_id", F.lit(0).alias("position"), (F.col("n") * 12).alias("normal_up"), (F.col("n") * 24).alias("normal_right"), (F.col("n") * 36).alias("scale"), (F.col("n") * 48).alias("batch_id"), gl.index_width(F.col("n") * F.when(F.col("prim_id") % 3 == 0, 5000).otherwise(10)).alias("width")), "SELECT prim_id, 0 AS position, n * 12 AS normal_up, n * 24 AS normal_right, n * 36 AS scale, n * 48 AS batch_id, CASE WHEN n * CASE WHEN prim_id % 3 = 0 THEN 5000 ELSE 10 END < 256 THEN 'u8' WHEN n * CASE WHEN prim_id % 3 = 0 THEN 5000 ELSE 10 END < 65536 THEN 'u16' ELSE 'u32' END AS width FROM sc_counts")
 R.add("f17_quantize", "sc_vertices", lambda v: v.select("prim_id", "vi", gl.quantise(F.col("u"), (F.col("vi") % 16 + 1).cast("int")).alias("q"), gl.quantise_signed(F.col("u") * 2 - 1, (F.col("vi") % 15 + 2).cast("int")).alias("qs")), "SELECT prim_id, vi, floor(least(greatest(u, 0), 1) * (2 ** (vi % 16 + 1) - 1) + 0.5)::BIGINT AS q, (sign(u * 2 - 1) * floor(abs(least(greatest(u * 2 - 1, -1), 1) * (2 ** (vi % 15 + 1) - 1)) + 0.5))::BIGINT AS qs FROM sc_vertices")
 R.add("k11_mesh_quantisation", "sc_vertices", lambda v: v.join(F.broadcast(m.boxes(v, ())), how="left").withColumn("s", F.greatest(*[m.extent(a) for a in "xyz"])).select("prim_id", "vi", *[gl.quantise((F.col(a) - F.col(f"min_{a}")) / F.col("s"), F.lit(14)).alias(f"q{a}") for a in "xyz"]), ", b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS s FROM sc_vertices) SELECT prim_id, vi, floor((x - lx) / b.s * 16383 + 0.5)::BIGINT AS qx, floor((y - ly) / b.s * 16383 + 0.5)::BIGINT AS qy, floor((z - lz) / b.s * 16383 + 0.5)::BIGINT AS qz FROM sc_vertices, b")
@@ -41,11 +56,13 @@ R.add("f21_bit_replication", "sc_vertices", lambda v: v.select("prim_id", "vi",
 R.add("f22_uv_transform", "sc_vertices sc_geodes", lambda v, g: v.join(g, F.col("prim_id") == F.col("geode_id")).groupBy("material_id").agg(*[f(c).alias(f"{n}_{c}") for c in "uv" for n, f in (("min", F.min), ("max", F.max))]).select("material_id", F.col("min_u").alias("offset_u"), F.col("min_v").alias("offset_v"), ((F.col("max_u") - F.col("min_u")) / 4095).alias("scale_u"), ((F.col("max_v") - F.col("min_v")) / 4095).alias("scale_v")), "SELECT material_id, min(u) AS offset_u, min(v) AS offset_v, (max(u) - min(u)) / 4095 AS scale_u, (max(v) - min(v)) / 4095 AS scale_v FROM sc_vertices JOIN sc_geodes ON prim_id = geode_id GROUP BY 1")
 R.add("f4_section_padding", "sc_counts", lambda c: c.select("prim_id", ct.padded_length(F.col("n"), 28).alias("b3dm"), ct.padded_length(F.col("n"), 32).alias("i3dm")), "SELECT prim_id, ((n + 28 + 7) // 8 * 8 - 28)::BIGINT AS b3dm, ((n + 32 + 7) // 8 * 8 - 32)::BIGINT AS i3dm FROM sc_counts")
 R.add("f3_hex_pad", "sc_geodes", lambda g: g.select("geode_id", F.lpad(F.hex("geode_id"), 16, "0").alias("hex")), "SELECT geode_id, lpad(upper(to_hex(geode_id)), 16, '0') AS hex FROM sc_geodes")
-R.add("f2_option_tokens", "sc_geodes", lambda g: g.select("geode_id", F.str_to_map(F.concat(F.lit("ct=quantize vp="), F.col("size").cast("string"), F.lit(" eb=1")), F.lit(" "), F.lit("=")).alias("o")).select("geode_id", F.col("o")["ct"].alias("ct"), F.col("o")["vp"].alias("vp")), "SELECT geode_id, 'quantize' AS ct, size::VARCHAR AS vp FROM sc_geodes")
+_opts = lambda: F.concat_ws(" ", F.when(F.col("size") % 3 == 0, "ct=draco").when(F.col("size") % 3 == 1, " ct=meshopt"), F.concat(F.lit("vp="), F.col("size").cast("string")), F.when(F.col("mode_no") > 2, "noMergeMesh"), F.when(F.col("mode_no") == 1, "quantize=1  vp=9"), F.when(F.col("mode_no") == 5, "unlit=true"))
+_OPT_SQL = ", o AS (SELECT geode_id, CASE size % 3 WHEN 0 THEN 'draco' WHEN 1 THEN 'meshopt' END AS ct, CASE WHEN mode_no = 1 THEN '9' ELSE size::VARCHAR END AS vp, mode_no FROM sc_geodes)"
+R.add("f2_option_tokens", "sc_geodes", lambda g: g.select("geode_id", md.options(_opts()).alias("o")).select("geode_id", F.col("o")["ct"].alias("ct"), F.col("o")["vp"].alias("vp"), F.size("o").alias("n")), _OPT_SQL + " SELECT geode_id, ct, vp, (1 + (ct IS NOT NULL)::INT + (mode_no > 2)::INT + (mode_no = 1)::INT + (mode_no = 5)::INT)::INT AS n FROM o")
 R.add("f5_prefix_match", "sc_geodes", lambda g: g.select("geode_id", F.lower("name").startswith("blue").alias("hit")), "SELECT geode_id, name ILIKE 'blue%' AS hit FROM sc_geodes")
 R.add("f7_stringify", "sc_geodes", lambda g: g.select("geode_id", F.concat_ws(" ", F.col("cx").cast("int").cast("string"), F.col("cy").cast("int").cast("string"), F.col("cz").cast("int").cast("string")).alias("text")), "SELECT geode_id, cx::INT || ' ' || cy::INT || ' ' || cz::INT AS text FROM sc_geodes")
 R.add("f12_vector_algebra", "sc_vertices", lambda v: v.select("prim_id", "vi", F.round(la.norm([F.col(a) for a in "xyz"]), 6).alias("length"), F.round(la.dot([F.col(a) for a in "xyz"], [F.col("u"), F.col("v"), F.col("w")]) + 1e-9, 6).alias("dot")), "SELECT prim_id, vi, round(sqrt(x * x + y * y + z * z), 6) AS length, round(x * u + y * v + z * w + 1e-9, 6) AS dot FROM sc_vertices")
-R.add("f16_hash_combine", "sc_geodes", lambda g: g.groupBy(F.xxhash64("class", "size", "brand").alias("h")).agg(F.count("*").alias("n"), F.min("geode_id").alias("first_id")).select("first_id", "n"), "SELECT min(geode_id) AS first_id, count(*) AS n FROM sc_geodes GROUP BY class, size, brand")
+R.add("f16_hash_combine", "sc_geodes", lambda g: g.groupBy(F.xxhash64("class", "size", "brand").alias("h"), "class", "size", "brand").agg(F.count("*").alias("n"), F.min("geode_id").alias("first_id")).select("first_id", "n"), "SELECT min(geode_id) AS first_id, count(*) AS n FROM sc_geodes GROUP BY class, size, brand")
 R.add("f30_array_equality", "sc_vertices", lambda v: v.select("prim_id", "vi", F.forall(F.zip_with(F.array("u", "v"), F.array(F.round("u", 2), F.round("v", 2)), lambda a, b: F.abs(a - b) < 1e-3), lambda x: x).alias("equal")), "SELECT prim_id, vi, abs(u - round(u, 2)) < 1e-3 AND abs(v - round(v, 2)) < 1e-3 AS equal FROM sc_vertices")
 R.add("f38_header_arithmetic", "sc_counts", lambda c: c.select("prim_id", (F.lit(28) + ct.padded_length(F.col("n"), 28) + ct.padded_length(F.col("n") * 2)).alias("bytes")), "SELECT prim_id, (28 + (n + 28 + 7) // 8 * 8 - 28 + (n * 2 + 7) // 8 * 8)::BIGINT AS bytes FROM sc_counts")
 
@@ -75,14 +92,32 @@ def _tiles(v):
 
 
 R.add("k3_container_bytes", "sc_vertices", lambda v: ct.header_fields(ct.write_tiles(_tiles(v))))
-R.add("k4_i3dm_table", "sc_vertices", lambda v: ct.parse_tiles(ct.write_tiles(_tiles(v).filter("kind = 'i3dm'"))).select("tile_id", F.get_json_object("feature", "$.INSTANCES_LENGTH").cast("long").alias("instances"), F.get_json_object("feature", "$.BATCH_ID.componentType").alias("width")), "SELECT prim_id AS tile_id, count(*) AS instances, CASE WHEN count(*) < 256 THEN 'UNSIGNED_BYTE' ELSE 'UNSIGNED_SHORT' END AS width FROM sc_vertices WHERE prim_id % 4 = 0 GROUP BY 1")
+
+
+def _instances(v):
+    """Every fourth primitive's vertices as instances: a quarter turn about z by the supplier, a scale by the line."""
+    turn, one = F.col("s") % 4, F.lit(1.0)
+    cos, sin = F.when(turn == 0, 1.0).when(turn == 2, -1.0).otherwise(0.0), F.when(turn == 1, 1.0).when(turn == 3, -1.0).otherwise(0.0)
+    own = {"x": F.col("x"), "y": F.col("y"), "z": F.col("z"), "up_x": -sin, "up_y": cos, "up_z": one * 0, "right_x": cos, "right_y": sin, "right_z": one * 0, "sx": F.col("z"), "sy": F.col("z") * 2, "sz": one}
+    return v.filter("prim_id % 4 = 0").select(F.col("prim_id").alias("tile_id"), F.col("vi").alias("batch_id"), *[c.alias(n) for n, c in own.items()])
+
+
+R.add("k4_i3dm_table", "sc_vertices", lambda v: gf.read_instances(gf.instance_tables(_instances(v))).select("tile_id", "batch_id", *[(F.round(c, 3) + 0.0).alias(c) for c in gf.COLUMNS]), "SELECT prim_id AS tile_id, vi AS batch_id, round(x::FLOAT::DOUBLE, 3) AS x, round(y::FLOAT::DOUBLE, 3) AS y, z, -(CASE s % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)::DOUBLE + 0.0 AS up_x, (CASE s % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END)::DOUBLE AS up_y, 0.0::DOUBLE AS up_z, (CASE s % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END)::DOUBLE AS right_x, (CASE s % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)::DOUBLE AS right_y, 0.0::DOUBLE AS right_z, z AS sx, z * 2 AS sy, 1.0::DOUBLE AS sz FROM sc_vertices WHERE prim_id % 4 = 0")
 R.add("s12_b3dm_scan", "sc_vertices", lambda v: ct.parse_tiles(ct.write_tiles(_tiles(v))).select("tile_id", "magic", F.coalesce(F.get_json_object("feature", "$.BATCH_LENGTH"), F.get_json_object("feature", "$.INSTANCES_LENGTH")).cast("long").alias("batch_length"), "error"), "SELECT prim_id AS tile_id, CASE WHEN prim_id % 4 = 0 THEN 'i3dm' ELSE 'b3dm' END AS magic, count(*) AS batch_length, NULL::VARCHAR AS error FROM sc_vertices GROUP BY 1")
-R.add("k6_payload_extraction", "sc_vertices", lambda v: ct.parse_tiles(ct.write_tiles(_tiles(v))).select("tile_id", "payload_bytes"))
+
+
+def _meshes(v, g):
+    flat = lambda cols: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vi", *cols))), lambda p: F.array(*[p[c] for c in cols])))
+    tiles = v.groupBy(F.col("prim_id").alias("tile_id")).agg(flat("xyz").alias("xyz"), flat("uv").alias("all_uv"))
+    return tiles.join(g.select(F.col("geode_id").alias("tile_id"), (F.col("size") % 2 == 0).alias("textured")), "tile_id").withColumn("uv", F.when(F.col("textured"), F.col("all_uv")))
+
+
+R.add("k6_payload_extraction", "sc_vertices sc_geodes", lambda v, g: gf.read_meshes(gf.write_meshes(_meshes(v, g))).select("tile_id", "vi", "triangles", *[F.round(c, 3).alias(c) for c in "xyzuv"]), ", n AS (SELECT prim_id, count(*) AS n FROM sc_vertices GROUP BY 1) SELECT v.prim_id AS tile_id, vi, n // 3 AS triangles, round(x::FLOAT::DOUBLE, 3) AS x, round(y::FLOAT::DOUBLE, 3) AS y, z, CASE WHEN size % 2 = 0 THEN round(u::FLOAT::DOUBLE, 3) END AS u, CASE WHEN size % 2 = 0 THEN round(v::FLOAT::DOUBLE, 3) END AS v FROM sc_vertices v JOIN n ON n.prim_id = v.prim_id JOIN sc_geodes ON geode_id = v.prim_id")
 _rec = lambda g: g.select(F.col("geode_id").alias("tile_id"), F.array(F.col("cx"), F.col("cy"), F.col("cz")).alias("box"), F.col("size").alias("geometric_error"), F.lit("REPLACE").alias("refine"), F.when(F.col("mode_no") > 0, F.concat(F.lit("t"), F.col("geode_id").cast("string"))).alias("uri"))
 R.add("f33_tile_json", "sc_geodes", lambda g: ct.tileset_json(_rec(g)), """SELECT geode_id AS tile_id, '{"boundingVolume":{"box":[' || cx || ',' || cy || ',' || cz || ']},"geometricError":' || size || ',"refine":"REPLACE"' || CASE WHEN mode_no > 0 THEN ',"content":{"uri":"t' || geode_id || '"}' ELSE '' END || '}' AS json FROM sc_geodes""")
-_tree = lambda n: n.select(F.col("node_id").alias("tile_id"), "parent_id", F.when(F.col("node_id") == 0, 0).when(F.col("node_id") < 100, 1).when(F.col("node_id") < 1000, 2).otherwise(3).alias("level"), (F.col("node_id") % 9).alias("geometric_error"))
-R.add("k5_tileset_json", "sc_nodes", lambda n: ct.tileset_tree(_tree(n)))
-R.add("s14_tileset_scan", "sc_nodes", lambda n: ct.read_tileset(ct.tileset_tree(_tree(n))), "SELECT node_id AS tile_id, parent_id, (node_id % 9)::DOUBLE AS geometric_error FROM sc_nodes")
+_tree = lambda n: n.select(F.col("node_id").alias("tile_id"), "parent_id", F.when(F.col("node_id") == 0, 0).when(F.col("node_id") < 100, 1).when(F.col("node_id") < 1000, 2).otherwise(3).alias("level"), (F.col("node_id") % 9).alias("geometric_error"), F.array("tx", "ty", "tz", *[F.lit(float(k in (0, 4, 8))) for k in range(9)]).alias("box"), F.when(F.col("kind") == "skeleton", "ADD").otherwise("REPLACE").alias("refine"), F.when(F.col("node_id") % 3 == 0, F.concat(F.lit("tiles/"), "name", F.lit(".b3dm"))).alias("uri"))
+R.add("k5_tileset_json", "sc_nodes", lambda n: gf.tileset(_tree(n)))
+R.add("s14_tileset_scan", "sc_nodes", lambda n: gf.read_tileset(gf.tileset(_tree(n))), "SELECT node_id AS tile_id, parent_id, CASE WHEN node_id = 0 THEN 0 WHEN node_id < 100 THEN 1 WHEN node_id < 1000 THEN 2 ELSE 3 END AS level, (node_id % 9)::DOUBLE AS geometric_error, CASE kind WHEN 'skeleton' THEN 'ADD' ELSE 'REPLACE' END AS refine, CASE WHEN node_id % 3 = 0 THEN 'tiles/' || name || '.b3dm' END AS uri, [tx, ty, tz, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0] AS box FROM sc_nodes")
 R.add("f34_json_get", "sc_geodes", lambda g: ct.tileset_json(_rec(g)).select("tile_id", F.coalesce(F.get_json_object("json", "$.content.uri"), F.lit("")).alias("uri"), F.coalesce(F.get_json_object("json", "$.missing").cast("int"), F.lit(-1)).alias("missing")), "SELECT geode_id AS tile_id, CASE WHEN mode_no > 0 THEN 't' || geode_id ELSE '' END AS uri, -1 AS missing FROM sc_geodes")
 R.add("f35_feature_table", "sc_counts", lambda c: c.select("prim_id", F.to_json(F.struct(F.col("n").alias("BATCH_LENGTH"))).alias("json")), """SELECT prim_id, '{"BATCH_LENGTH":' || n || '}' AS json FROM sc_counts""")
 _img = lambda i: i.select(F.col("format").cast("long").alias("atlas_key"), "image_id", "w", "h")
@@ -90,13 +125,12 @@ R.add("o5_atlas_fill", "sc_images", lambda i: pack.greedy_fill(_img(i), ("atlas_
 R.add("o6_pack", "sc_images", lambda i: pack.skyline_pack(_img(i), 512, 512))
 R.add("k15_atlas", "sc_images", lambda i: pack.atlas_json(pack.skyline_pack(_img(i), 512, 512)).select("atlas_key", "atlas", F.length("json").alias("bytes")))
 R.add("f36_atlas_json", "sc_images", lambda i: pack.atlas_json(pack.skyline_pack(_img(i), 512, 512)))
-R.add("k2_writer_options", "sc_geodes", lambda g: g.select("geode_id", F.when((F.col("size") % 3 == 0) & (F.col("mode_no") > 2), "draco").when(F.col("size") % 3 == 1, "quantize,meshopt").otherwise("merge").alias("processors")), "SELECT geode_id, CASE WHEN size % 3 = 0 AND mode_no > 2 THEN 'draco' WHEN size % 3 = 1 THEN 'quantize,meshopt' ELSE 'merge' END AS processors FROM sc_geodes")
+R.add("k2_writer_options", "sc_geodes", lambda g: g.select("geode_id", md.options(_opts()).alias("o")).select("geode_id", md.processors(F.col("o")).alias("processors")), _OPT_SQL + " SELECT geode_id, 'mergeMaterial' || CASE WHEN mode_no > 2 THEN '' ELSE ',mergeMesh' END || CASE WHEN mode_no = 1 THEN ',quantize' ELSE '' END || coalesce(',' || ct, '') || CASE WHEN mode_no = 5 THEN ',unlit' ELSE '' END AS processors FROM o")
 R.add("f13_surface_area", "sc_vertices", lambda v: m.boxes(v).select("prim_id", F.round(2 * (m.extent("x") * m.extent("y") + m.extent("y") * m.extent("z") + m.extent("z") * m.extent("x")) + 1e-9, 6).alias("area")), f", b AS ({BOX_SQL}) SELECT prim_id, round(2 * ((max_x - min_x) * (max_y - min_y) + (max_y - min_y) * (max_z - min_z) + (max_z - min_z) * (max_x - min_x)) + 1e-9, 6) AS area FROM b")
-R.add("f31_matrix_key", "sc_nodes", lambda n: n.groupBy("tx", "ty", "tz", "s", "q").agg(F.count("*").alias("nodes")), "SELECT tx, ty, tz, s, q, count(*) AS nodes FROM sc_nodes GROUP BY 1, 2, 3, 4, 5")
 R.add("w13_serpentine_order", "sc_geodes", lambda g: g.withColumn("row", F.floor(F.col("cy") / 10)).withColumn("along", F.when(F.col("row") % 2 == 0, F.col("cx")).otherwise(-F.col("cx"))).select("geode_id", F.row_number().over(Window.partitionBy("row").orderBy("along", "geode_id")).alias("place"), F.col("row")), "SELECT geode_id, (row_number() OVER (PARTITION BY floor(cy / 10) ORDER BY CASE WHEN floor(cy / 10) % 2 = 0 THEN cx ELSE -cx END, geode_id))::INT AS place, floor(cy / 10)::BIGINT AS row FROM sc_geodes")
 R.add("f9_nearest_pow2", "sc_counts", lambda c: c.select("prim_id", F.pow(F.lit(2.0), F.floor(F.log2("n") + 0.5)).cast("long").alias("nearest"), F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long").alias("below")), "SELECT prim_id, (2 ** floor(log2(n) + 0.5))::BIGINT AS nearest, (2 ** floor(log2(n)))::BIGINT AS below FROM sc_counts")
 R.add("f10_clamp", "sc_vertices", lambda v: v.select("prim_id", "vi", F.least(F.greatest(F.col("y"), F.lit(25.0)), F.lit(75.0)).alias("y")), "SELECT prim_id, vi, CASE WHEN y < 25 THEN 25 WHEN y > 75 THEN 75 ELSE y END::DOUBLE AS y FROM sc_vertices")
 R.add("f11_math", "sc_vertices", lambda v: v.select("prim_id", "vi", *[F.round(e + 1e-9, 6).alias(n) for n, e in (("log2", F.log2("x")), ("tan", F.tan(F.col("u") / 2)), ("atan", F.atan("y")), ("sqrt", F.sqrt("x")), ("pow", F.pow("u", F.lit(3.0))))]), "SELECT prim_id, vi, round(log2(x) + 1e-9, 6) AS log2, round(tan(u / 2) + 1e-9, 6) AS tan, round(atan(y) + 1e-9, 6) AS atan, round(sqrt(x) + 1e-9, 6) AS sqrt, round(u * u * u + 1e-9, 6) AS pow FROM sc_vertices")
 R.add("f19_oct32p", "sc_vertices", lambda v: v.select("prim_id", "vi", *[c.alias(n) for c, n in zip(gl.oct32p((F.col("x"), F.col("y"), 4 - F.col("z"))), ("ou", "ov"))]), _OCT + " SELECT prim_id, vi, floor((u * 0.5 + 0.5) * 65535)::BIGINT AS ou, floor((v * 0.5 + 0.5) * 65535)::BIGINT AS ov FROM p")
 R.add("f37_little_endian", "sc_counts", lambda c: c.select("prim_id", F.hex(gl.little_endian(F.col("n") * 1000)).alias("bytes")), ", h AS (SELECT prim_id, lpad(upper(to_hex(n * 1000)), 8, '0') AS h FROM sc_counts) SELECT prim_id, h[7:8] || h[5:6] || h[3:4] || h[1:2] AS bytes FROM h")
-R.add("f39_deep_equality", "sc_geodes", lambda g: g.groupBy(F.xxhash64(F.struct("class", "size", F.struct("brand", "mode_no"))).alias("h")).agg(F.min("geode_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n"), "SELECT min(geode_id) AS first_id, count(*) AS n FROM sc_geodes GROUP BY class, size, brand, mode_no HAVING count(*) > 1")
+R.add("f39_deep_equality", "sc_geodes", lambda g: g.groupBy(F.struct("class", "size", F.struct("brand", "mode_no")).alias("content")).agg(F.min("geode_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n"), "SELECT min(geode_id) AS first_id, count(*) AS n FROM sc_geodes GROUP BY class, size, brand, mode_no HAVING count(*) > 1")

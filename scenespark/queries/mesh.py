@@ -115,6 +115,7 @@ R.add(
     "SELECT prim_id AS mesh, vi AS control_point, CASE WHEN vi % 4 = 1 THEN x * 2 ELSE x END AS x, y, CASE WHEN vi % 4 = 1 THEN 0 ELSE z END::DOUBLE AS z FROM sc_vertices",
 )
 R.add("a37_polygons_by_material", "sc_vertices", lambda v: v.groupBy(F.col("prim_id").alias("mesh"), (F.col("s") % 3).alias("material")).agg(F.count_distinct(F.floor(F.col("vi") / 3)).alias("polygons")), "SELECT prim_id AS mesh, s % 3 AS material, count(DISTINCT vi // 3) AS polygons FROM sc_vertices GROUP BY prim_id, s % 3")
-R.add("t9_simplify", "sc_triangles sc_vertices", lambda t, v: m.simplify(t, v, 0.5))
-R.add("a30_lod_error", "sc_triangles sc_vertices sc_geodes", lambda t, v, g: m.simplify(t, v, 0.5).join(g, F.col("prim_id") == F.col("geode_id")).groupBy("node_id").agg(F.max("error").alias("lod_error")))
+R.add("t9_simplify", "sc_triangles sc_vertices", lambda t, v: m.simplified(t, v, 0.5).drop("diagonal", "before"))
+R.add("t9_counts", "sc_triangles sc_vertices", lambda t, v: m.simplify(t, v, 0.5).filter("after > 0.5 * before").select("prim_id"), "SELECT prim_id FROM sc_triangles WHERE false")
+R.add("a30_lod_error", "sc_triangles sc_vertices sc_geodes", lambda t, v, g: m.lod_errors(m.simplified(t, v, 0.5)).join(g, F.col("prim_id") == F.col("geode_id")).groupBy("node_id").agg(F.max("lod_error").alias("lod_error")))
 R.add("p27_narrow_texcoords", "sc_vertices", lambda v: v.select("prim_id", "vi", F.slice(F.array("u", "v", "z"), 1, 2).alias("uvw")).select("prim_id", "vi", F.col("uvw")[0].alias("u"), F.col("uvw")[1].alias("v")), "SELECT prim_id, vi, u, v FROM sc_vertices")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scenespark.functions import linalg as la
+from scenespark.operators import model as md
 from scenespark.operators import scene as sc
 from scenespark.operators import transforms as tr
 from scenespark.queries import Registry
+from scenespark.queries import buffers as bf
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -44,7 +46,42 @@ R.add("p15_prune", "sc_nodes sc_geodes", lambda n, g: sc.live_nodes(n, g).select
 R.add("p18_valid_tree", "sc_nodes", lambda n: sc.valid_tree(n.select(F.col("node_id").alias("tile_id"), "parent_id", F.when(F.col("node_id") >= 1000, 0.0).otherwise(F.col("node_id") % 9).alias("geometric_error"))), ", t AS (SELECT node_id, parent_id, CASE WHEN node_id >= 1000 THEN 0 ELSE node_id % 9 END AS e FROM sc_nodes) SELECT node_id AS tile_id, CASE WHEN NOT EXISTS (SELECT 1 FROM t c WHERE c.parent_id = t.node_id) THEN e = 0 ELSE NOT EXISTS (SELECT 1 FROM t c WHERE c.parent_id = t.node_id AND c.e >= t.e) END AS valid FROM t")
 R.add("w1_batch_ids", "sc_nodes sc_geodes", lambda n, g: sc.batch_ids(g, sc.paths(n)).select("geode_id", "batch_id"), _WALK.format(root="lpad(node_id::VARCHAR, 12, '0') AS k", step="w.k || '/' || lpad(n.node_id::VARCHAR, 12, '0')") + " SELECT geode_id, row_number() OVER (ORDER BY k, geode_id) - 1 AS batch_id FROM sc_geodes g JOIN walk w ON w.node_id = g.node_id")
 R.add("w2_parent_batch", "sc_nodes sc_geodes", lambda n, g: sc.batch_ids(g, sc.paths(n)).select("geode_id", "parent_batch_id"), _WALK.format(root="lpad(node_id::VARCHAR, 12, '0') AS k", step="w.k || '/' || lpad(n.node_id::VARCHAR, 12, '0')") + ", b AS (SELECT geode_id, g.node_id, row_number() OVER (ORDER BY k, geode_id) - 1 AS batch_id FROM sc_geodes g JOIN walk w ON w.node_id = g.node_id) SELECT geode_id, greatest(min(batch_id) OVER (PARTITION BY node_id) - 1, 0) AS parent_batch_id FROM b")
-R.add("u3_group_by_matrix", "sc_geodes", lambda g: g.groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_list("geode_id")), ",").alias("members")), "SELECT node_id, string_agg(geode_id::VARCHAR, ',' ORDER BY geode_id) AS members FROM sc_geodes GROUP BY node_id")
+_KEY = "round(a, 9), round(b, 9), round(k, 9), round(tx, 9), round(ty, 9), round(tz, 9)"
+
+
+def _placed(g, n):
+    """Geodes with their world matrix; negative zeros become zeros, so that equal matrices are equal arrays."""
+    world = _world(n).select("node_id", F.transform("world", lambda x: F.round(x, 9) + 0.0).alias("matrix"))
+    return g.join(world, "node_id")
+
+
+R.add("u3_group_by_matrix", "sc_geodes sc_nodes", lambda g, n: md.same_matrix(_placed(g, n).select("geode_id", "matrix"), "geode_id"), _WORLD + f" SELECT geode_id, min(geode_id) OVER w AS first_id, count(*) OVER w AS n FROM sc_geodes g JOIN walk USING (node_id) WINDOW w AS (PARTITION BY {_KEY})")
+R.add("a22_merge_transforms", "sc_geodes sc_nodes", lambda g, n: _placed(g, n).groupBy("matrix").agg(F.count("*").alias("geodes"), F.count_distinct("node_id").alias("nodes"), F.min("geode_id").alias("first_id")).drop("matrix"), _WORLD + f" SELECT count(*) AS geodes, count(DISTINCT node_id) AS nodes, min(geode_id) AS first_id FROM sc_geodes JOIN walk USING (node_id) GROUP BY {_KEY}")
+R.add("f31_matrix_key", "sc_nodes", lambda n: md.same_matrix(n.select("node_id", sc.local_matrix().alias("m")).select("node_id", F.transform("m", lambda x: F.round(x, 9) + 0.0).alias("matrix")), "node_id"), "SELECT node_id, min(node_id) OVER w AS first_id, count(*) OVER w AS n FROM sc_nodes WINDOW w AS (PARTITION BY tx, ty, tz, s, q % 4)")
+R.add("p5_rotation", "sc_nodes", lambda n: n.select("node_id", tr.rotation_of(sc.local_matrix()).alias("r")).select("node_id", *[(F.round(F.col("r")[k], 6) + 0.0).alias(c) for k, c in enumerate("xyzw")]), "SELECT node_id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, round(CASE q % 4 WHEN 0 THEN 0 WHEN 1 THEN sqrt(0.5) WHEN 2 THEN 1 ELSE -sqrt(0.5) END, 6)::DOUBLE AS z, round(CASE q % 4 WHEN 0 THEN 1 WHEN 2 THEN 0 ELSE sqrt(0.5) END, 6)::DOUBLE AS w FROM sc_nodes")
+_ATTR = "CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END"
+
+
+def _grouped(g, n, c):
+    prims = _placed(g, n).select(F.col("geode_id").alias("prim_id"), "matrix", "material_id")
+    return md.merge_groups(bf.prim_accessors(c, g), prims)
+
+
+_GROUPS = _WORLD + f", a AS (SELECT geode_id AS prim_id, material_id, size, {_ATTR} AS textured, n.n, {_KEY.replace('round(a, 9)', 'round(a, 9) AS ka').replace('round(b, 9)', 'round(b, 9) AS kb').replace('round(k, 9)', 'round(k, 9) AS kk').replace('round(tx, 9)', 'round(tx, 9) AS kx').replace('round(ty, 9)', 'round(ty, 9) AS ky').replace('round(tz, 9)', 'round(tz, 9) AS kz')} FROM sc_geodes JOIN walk USING (node_id) JOIN sc_counts n ON n.prim_id = geode_id), m AS (SELECT *, min(prim_id) OVER (PARTITION BY material_id, textured, ka, kb, kk, kx, ky, kz) AS group_id FROM a)"
+R.add("a21_merge_groups", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: _grouped(g, n, v), _GROUPS + " SELECT prim_id, group_id, CASE textured WHEN 1 THEN 'POSITION,TEXCOORD_0,_BATCHID,indices' ELSE 'POSITION,_BATCHID,indices' END AS attributes FROM m")
+
+
+def _half(found, g):
+    """Accessors of which those of every third size are quantised: then a group's members may differ."""
+    short = g.select(F.col("geode_id").alias("prim_id"), (F.col("size") % 3 == 0).alias("short"))
+    return found.join(short, "prim_id").withColumn("component", F.when(F.col("short") & (F.col("attribute") == "POSITION"), 5123).otherwise(F.col("component"))).drop("short")
+
+
+_OK = _GROUPS + ", k AS (SELECT group_id, count(DISTINCT size % 3 = 0) = 1 AS compatible FROM m GROUP BY 1)"
+R.add("p20_merge_compatible", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: md.compatible(_half(bf.prim_accessors(v, g), g), _grouped(g, n, v)), _OK + " SELECT * FROM k")
+_MERGED = _OK + ", z AS (SELECT m.*, CASE WHEN compatible THEN m.group_id ELSE prim_id END AS gid FROM m JOIN k ON k.group_id = m.group_id)"
+R.add("k14_merge_meshes", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: md.merged(_half(bf.prim_accessors(v, g), g), _grouped(g, n, v))[0].select("group_id", "attribute", "count", "component", *[F.round(F.get("min", F.lit(k)), 6).alias(f"min{k}") for k in range(3)]), _MERGED + ", b AS (SELECT prim_id, min(x) AS x, min(y) AS y, min(z) AS z, min(u) AS u, min(v) AS v FROM sc_vertices GROUP BY 1), q AS (SELECT gid, sum(n)::BIGINT AS count, bool_or(size % 3 = 0) AS short, max(textured) AS textured, min(x) AS x, min(y) AS y, min(z) AS z, min(u) AS u, min(v) AS v FROM z JOIN b USING (prim_id) GROUP BY 1) SELECT gid AS group_id, 'POSITION' AS attribute, count, CASE WHEN short THEN 5123 ELSE 5126 END AS component, round(x, 6) AS min0, round(y, 6) AS min1, round(z, 6) AS min2 FROM q UNION ALL SELECT gid, 'TEXCOORD_0', count, 5126, round(u, 6), round(v, 6), NULL FROM q WHERE textured = 1 UNION ALL SELECT gid, '_BATCHID', count, 5126, NULL, NULL, NULL FROM q UNION ALL SELECT gid, 'indices', count, CASE WHEN count <= 255 THEN 5121 WHEN count <= 65535 THEN 5123 ELSE 5125 END, NULL, NULL, NULL FROM q")
+R.add("k14_base_vertices", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: md.merged(_half(bf.prim_accessors(v, g), g), _grouped(g, n, v))[1], _MERGED + " SELECT gid AS group_id, prim_id, n AS count, (sum(n) OVER (PARTITION BY gid ORDER BY prim_id) - n)::BIGINT AS base FROM z")
 
 
 def _tilted(n):
