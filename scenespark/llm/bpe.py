@@ -36,7 +36,7 @@ PIECES = regex.compile(
 
 #: Pieces that a worker remembers, and the bytes of the longest one; beyond these it starts anew or does
 #: not remember, so that memory stays bounded.
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -108,7 +108,7 @@ class Bpe:
                 before, x = x, left[1]
             else:  # of equal ids the left one is merged first, so the seam must come strictly earlier
                 before, y = y + 1, right[0]
-        if len(self.fits) > 4_000_000:
+        if len(self.fits) > 1_000_000:
             self.fits.clear()
         self.fits[a, b] = good
         return good

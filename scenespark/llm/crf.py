@@ -125,7 +125,7 @@ def in_context(rows: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 class Memory:
     """Potentials of the words met so far, by row; bounded."""
 
-    def __init__(self, model: Chain, features: Callable[[str], Iterable[str]], limit: int = 600_000):
+    def __init__(self, model: Chain, features: Callable[[str], Iterable[str]], limit: int = 250_000):
         self.model, self.features, self.limit = model, features, limit
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, model.weights.shape[1]), np.float32)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from scenespark.llm import crf
-from scenespark.llm.sampling import held_out, labelled_sample, lower
+from scenespark.llm.sampling import held_out, labelled_sample, lower, portions
 from scenespark.session import prepare
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -157,7 +157,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, model: Model | None,
         model = sent.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = model.predict(texts, runs) if model else [(UNKNOWN, 0.0, [])] * len(texts)
+            found = [f for part in portions(texts) for f in model.predict(part, runs)] if model else [(UNKNOWN, 0.0, [])] * len(texts)
             out = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if runs:
                 out.append(pa.array([f[2] for f in found], run_type))

@@ -19,6 +19,19 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def portions(texts: list[str | None], most: int = 1 << 20) -> list[list[str | None]]:
+    """The texts in lists of at most so many code points, or of one longer text: what is tagged at a time."""
+    out, held = [], 0
+    for t in texts:
+        n = len(t or "")
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(t)
+        held += n
+    return out
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from training; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))

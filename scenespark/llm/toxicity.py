@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenespark.llm import crf
-from scenespark.llm.sampling import held_out, labelled_sample, lower
+from scenespark.llm.sampling import held_out, labelled_sample, lower, portions
 from scenespark.session import prepare
 
 WORD = re.compile(r"\w+")
@@ -186,7 +186,7 @@ def _scored(spark: SparkSession, docs: DataFrame, model: Model | None, spans: bo
         for batch in batches:
             names = batch.schema.names
             texts = [t or "" for t in batch.column(names.index(text)).to_pylist()]
-            probs = model.tag(texts)[1] if model else [np.zeros(0)] * len(texts)
+            probs = [p for part in portions(texts) for p in model.tag(part)[1]] if model else [np.zeros(0)] * len(texts)
             scores = [model.score(p) if model else 0.0 for p in probs]
             out = [*(batch.column(names.index(k)) for k in keep), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             if spans:
