@@ -71,6 +71,12 @@ _GROUPS = _WORLD + f", a AS (SELECT geode_id AS prim_id, material_id, size, {_AT
 R.add("a21_merge_groups", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: _grouped(g, n, v), _GROUPS + " SELECT prim_id, group_id, CASE textured WHEN 1 THEN 'POSITION,TEXCOORD_0,_BATCHID,indices' ELSE 'POSITION,_BATCHID,indices' END AS attributes FROM m")
 
 
+def rounded(c, digits=6):
+    """round as the oracle's engine does, on the product with 10^digits in binary: F.round goes by the shortest decimals
+    of the number, so halves such as 0.5096415 (a little less in the product) go another way."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def _half(found, g):
     """Accessors of which those of every third size are quantised: then a group's members may differ."""
     short = g.select(F.col("geode_id").alias("prim_id"), (F.col("size") % 3 == 0).alias("short"))
@@ -80,7 +86,7 @@ def _half(found, g):
 _OK = _GROUPS + ", k AS (SELECT group_id, count(DISTINCT size % 3 = 0) = 1 AS compatible FROM m GROUP BY 1)"
 R.add("p20_merge_compatible", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: md.compatible(_half(bf.prim_accessors(v, g), g), _grouped(g, n, v)), _OK + " SELECT * FROM k")
 _MERGED = _OK + ", z AS (SELECT m.*, CASE WHEN compatible THEN m.group_id ELSE prim_id END AS gid FROM m JOIN k ON k.group_id = m.group_id)"
-R.add("k14_merge_meshes", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: md.merged(_half(bf.prim_accessors(v, g), g), _grouped(g, n, v))[0].select("group_id", "attribute", "count", "component", *[F.round(F.get("min", F.lit(k)), 6).alias(f"min{k}") for k in range(3)]), _MERGED + ", b AS (SELECT prim_id, min(x) AS x, min(y) AS y, min(z) AS z, min(u) AS u, min(v) AS v FROM sc_vertices GROUP BY 1), q AS (SELECT gid, sum(n)::BIGINT AS count, bool_or(size % 3 = 0) AS short, max(textured) AS textured, min(x) AS x, min(y) AS y, min(z) AS z, min(u) AS u, min(v) AS v FROM z JOIN b USING (prim_id) GROUP BY 1) SELECT gid AS group_id, 'POSITION' AS attribute, count, CASE WHEN short THEN 5123 ELSE 5126 END AS component, round(x, 6) AS min0, round(y, 6) AS min1, round(z, 6) AS min2 FROM q UNION ALL SELECT gid, 'TEXCOORD_0', count, 5126, round(u, 6), round(v, 6), NULL FROM q WHERE textured = 1 UNION ALL SELECT gid, '_BATCHID', count, 5126, NULL, NULL, NULL FROM q UNION ALL SELECT gid, 'indices', count, CASE WHEN count <= 255 THEN 5121 WHEN count <= 65535 THEN 5123 ELSE 5125 END, NULL, NULL, NULL FROM q")
+R.add("k14_merge_meshes", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: md.merged(_half(bf.prim_accessors(v, g), g), _grouped(g, n, v))[0].select("group_id", "attribute", "count", "component", *[rounded(F.get("min", F.lit(k))).alias(f"min{k}") for k in range(3)]), _MERGED + ", b AS (SELECT prim_id, min(x) AS x, min(y) AS y, min(z) AS z, min(u) AS u, min(v) AS v FROM sc_vertices GROUP BY 1), q AS (SELECT gid, sum(n)::BIGINT AS count, bool_or(size % 3 = 0) AS short, max(textured) AS textured, min(x) AS x, min(y) AS y, min(z) AS z, min(u) AS u, min(v) AS v FROM z JOIN b USING (prim_id) GROUP BY 1) SELECT gid AS group_id, 'POSITION' AS attribute, count, CASE WHEN short THEN 5123 ELSE 5126 END AS component, round(x, 6) AS min0, round(y, 6) AS min1, round(z, 6) AS min2 FROM q UNION ALL SELECT gid, 'TEXCOORD_0', count, 5126, round(u, 6), round(v, 6), NULL FROM q WHERE textured = 1 UNION ALL SELECT gid, '_BATCHID', count, 5126, NULL, NULL, NULL FROM q UNION ALL SELECT gid, 'indices', count, CASE WHEN count <= 255 THEN 5121 WHEN count <= 65535 THEN 5123 ELSE 5125 END, NULL, NULL, NULL FROM q")
 R.add("k14_base_vertices", "sc_geodes sc_nodes sc_vertices sc_counts", lambda g, n, v, c: md.merged(_half(bf.prim_accessors(v, g), g), _grouped(g, n, v))[1], _MERGED + " SELECT gid AS group_id, prim_id, n AS count, (sum(n) OVER (PARTITION BY gid ORDER BY prim_id) - n)::BIGINT AS base FROM z")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenespark.operators import mesh, model, order, spatial
+from scenespark.queries.scene import rounded
 from scenespark.sources import containers, gltf
 
 
@@ -127,3 +128,12 @@ def test_simplified_triangles(spark):
     rows = mesh.simplified(spark.createDataFrame(t, "prim_id long, ti long, i0 long, i1 long, i2 long"), spark.createDataFrame(v, "prim_id long, vi long, x double, y double, z double"), 0.5).collect()
     assert 0 < len(rows) <= len(t) // 2 and all(0 <= i < n * n for r in rows for i in (r.i0, r.i1, r.i2)) and all(len({r.i0, r.i1, r.i2}) == 3 for r in rows)
     assert rows[0].before == len(t) and 0 < rows[0].error < 1 and abs(rows[0].diagonal - np.hypot(n - 1, n - 1)) < 1e-9
+
+
+def test_rounding_as_the_oracle(spark):
+    import duckdb
+
+    values = [0.5096415, 0.037024499999999995, 0.2546455, -0.5096415, -0.2546455, 2.5e-7, 5e-7, 0.0, 1e300, 12.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r[0] for r in df.orderBy("i").select(rounded(F.col("v"))).collect()]
+    assert got == [duckdb.sql(f"SELECT round({'NULL' if v is None else repr(v)}::DOUBLE, 6)").fetchall()[0][0] for v in values]
