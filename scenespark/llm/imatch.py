@@ -32,10 +32,9 @@ from scenespark.session import cut
 
 #: The band: a term is kept if it occurs in a share of all documents within these limits.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.02
-#: Seeds, and the sub-lexicons of each: the first has every second term (of the same half for all seeds, so
-#: that fewer terms are counted), the next half of those and so on, SLICE times.
+#: Seeds, and the sub-lexicons of each: the first is the whole lexicon, the next has every second term and so on,
+#: SLICE times.
 SEEDS, SLICE, SLICES = 16, 14, 4
-DRAWN = 1 << 60
 #: Terms of a lexicon that is broadcast (8 bytes each); a larger one is joined by a shuffle.
 BROADCAST_TERMS = 2_000_000
 #: Documents of a range of doc_id, and the most ranges.
@@ -53,17 +52,16 @@ def _depth(h: Column, seed: int) -> Column:
     return own.bitwiseAND(-own)
 
 
-def drawn_terms(text: Column) -> Column:
-    """array<long>: the distinct terms' hashes that are in some sub-lexicon by their bits alone."""
+def distinct_terms(text: Column) -> Column:
+    """array<long>: the hashes of all distinct terms."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.filter(hashes, lambda h: h.bitwiseAND(F.lit(DRAWN)) == 0)
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> tuple[DataFrame, int]:
-    """Drawn terms (h) whose document frequency is in the band, and how many there are."""
+    """Terms (h) whose document frequency is in the band, and how many there are."""
     n = docs.count()
-    terms = docs.select(F.explode(drawn_terms(F.coalesce(F.col(text), F.lit("")))).alias("h"))
+    terms = docs.select(F.explode(distinct_terms(F.coalesce(F.col(text), F.lit("")))).alias("h"))
     found = cut(terms.groupBy("h").count().filter((F.col("count") >= least * n) & (F.col("count") <= max(1.0, most * n))).select("h"))
     return found, found.count()
 
@@ -139,7 +137,7 @@ def imatch_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     rows = with_next(docs).select("doc_id", "bucket", "at", "copy", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    own, changed = drawn_terms(F.col("text")), drawn_terms(F.col("edited"))
+    own, changed = distinct_terms(F.col("text")), distinct_terms(F.col("edited"))
     tagged = lambda a, k: F.transform(a, lambda h: F.struct(h.alias("h"), F.lit(k).alias("of")))
     head = F.struct("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     # the document's own columns ride on one row of it only

@@ -156,6 +156,13 @@ def test_likeness_follows_the_terms(spark):
     assert fp[0][0] == ".".join("-" * imatch.SEEDS) and fp[1] == fp[2] and len(fp[3][0].split(".")) == imatch.SEEDS
 
 
+def test_lexicon_counts_every_term(spark):
+    df = spark.createDataFrame([(i, f"a{i} b{i} c{i} all") for i in range(40)], "doc_id long, text string")
+    words, size = imatch.lexicon(df)
+    want = {r[0] for r in df.select(F.explode(F.split("text", " ")).alias("w")).filter("w <> 'all'").select(F.xxhash64("w")).collect()}
+    assert size == 120 and {r[0] for r in words.collect()} == want
+
+
 # --- op4
 
 
