@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,42 +169,128 @@ def blend_positions(vertices: DataFrame, targets: DataFrame, cols: tuple[str, ..
 SIMPLIFIED = "prim_id long, ti long, i0 long, i1 long, i2 long, error double, before long, diagonal double"
 
 
+#: Rows of vertices and triangles that are simplified at once, if they are of whole primitives.
+TOGETHER = 60_000
+
+
+def clustered(of: np.ndarray, p: np.ndarray, tri_of: np.ndarray, t: np.ndarray, groups: int, ratio: float) -> tuple[np.ndarray, ...]:
+    """Vertex clustering of many primitives at once: the triangles' new corners and whether they are left, and by
+    primitive the error and the diagonal.
+
+    of, p: primitive (from 0, rising) and place of each vertex; tri_of, t: primitive (rising) and corners of each
+    triangle, as places in p. A primitive whose box has no finite extent stays as it is."""
+    total = np.bincount(tri_of, minlength=groups)
+    some, first = np.unique(of, return_index=True)
+    low, span, error = np.zeros((groups, 3)), np.zeros(groups), np.zeros(groups)
+    if len(p):
+        low[some] = np.minimum.reduceat(p, first)
+        span[some] = np.linalg.norm(np.maximum.reduceat(p, first) - low[some], axis=1)
+    q, left = t.copy(), np.ones(len(t), bool)
+    live, cells = (total > ratio * total) & (span > 0) & np.isfinite(span), 1024
+    kept = np.arange(len(p))
+    while cells >= 1 and live.any():
+        at, tri = np.flatnonzero(live[of]), np.flatnonzero(live[tri_of])
+        g, own = of[at], p[at]
+        place = np.floor((own - low[g]) / (span[g] / cells)[:, None]).astype(np.int64)
+        order, starts = _runs((((g << 11 | place[:, 0]) << 11) | place[:, 1]) << 11 | place[:, 2])
+        n = np.diff(np.append(starts, len(at)))
+        cell = np.empty(len(at), np.int64)
+        cell[order] = np.repeat(np.arange(len(starts)), n)
+        mean = np.stack([np.bincount(cell, weights=own[:, k]) / n for k in range(3)], 1)
+        far = np.linalg.norm(own - mean[cell], axis=1)[order]
+        # of the vertices nearest to the mean the first
+        nearest = np.flatnonzero(far == np.repeat(np.minimum.reduceat(far, starts), n))
+        best = order[nearest[np.unique(np.searchsorted(starts, nearest, "right"), return_index=True)[1]]]
+        kept[at] = at[best[cell]]
+        moved = np.linalg.norm(own - p[kept[at]], axis=1)
+        begins = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        error[g[begins]] = np.maximum.reduceat(moved, begins) / span[g[begins]]
+        c = kept[t[tri]]
+        q[tri], left[tri] = c, (c[:, 0] != c[:, 1]) & (c[:, 1] != c[:, 2]) & (c[:, 0] != c[:, 2])
+        live &= np.bincount(tri_of[left], minlength=groups) > ratio * total
+        cells //= 2
+    return q, left, error, span
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of the keys, and where in it each key begins."""
+    order = np.argsort(keys, kind="stable")
+    in_order = keys[order]
+    return order, np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+
+
+def _simplified(rows: pa.Table, ratio: float) -> pa.RecordBatch:
+    """SIMPLIFIED of the vertices (ti null) and triangles of whole primitives, whose rows stand together."""
+    prim = rows.column("prim_id").combine_chunks()
+    known = prim.fill_null(0).to_numpy(zero_copy_only=False)
+    null = prim.is_null().to_numpy(zero_copy_only=False)
+    of = np.cumsum(np.r_[False, (known[1:] != known[:-1]) | (null[1:] != null[:-1])])
+    heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    is_tri = rows.column("ti").is_valid().to_numpy()
+    number = lambda c, m: rows.column(c).filter(pa.array(m)).to_numpy()
+    vi, ti = number("i0", ~is_tri), number("ti", is_tri)
+    v, tr = np.lexsort((vi, of[~is_tri])), np.lexsort((ti, of[is_tri]))
+    vi, v_of, t_of = vi[v], of[~is_tri][v], of[is_tri][tr]
+    p = np.stack([number(a, ~is_tri).astype(float)[v] for a in "xyz"], 1)
+    corners = np.stack([number(c, is_tri)[tr] for c in ("i0", "i1", "i2")], 1)
+    # a vertex is found by its primitive and the rank of its number
+    names = np.unique(vi)
+    rank = np.searchsorted(names, corners)
+    keys, sought = v_of * len(names) + np.searchsorted(names, vi), t_of[:, None] * len(names) + rank
+    t = np.searchsorted(keys, sought)
+    if len(t) and not (len(names) and (rank < len(names)).all() and (t < len(keys)).all() and (vi[t] == corners).all() and (v_of[t] == t_of[:, None]).all()):
+        raise ValueError("a triangle has a corner that is not among its primitive's vertices")
+    q, left, error, span = clustered(v_of, p, t_of, t, len(heads), ratio)
+    before, after = np.bincount(t_of, minlength=len(heads)), np.bincount(t_of[left], minlength=len(heads))
+    g = np.concatenate([t_of[left], np.flatnonzero(after == 0)])
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    c = np.concatenate([vi[q[left]], np.full((int((after == 0).sum()), 3), -1)])[order]
+    place = np.arange(len(g)) - np.searchsorted(g, np.arange(len(heads)))[g]
+    columns = [prim.take(pa.array(heads[g])), np.where(after[g] > 0, place, -1), c[:, 0], c[:, 1], c[:, 2], error[g], before[g], span[g]]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in columns], [f.split()[0] for f in SIMPLIFIED.split(", ")])
+
+
 def simplified(triangles: DataFrame, vertices: DataFrame, ratio: float) -> DataFrame:
     """The triangles that are left of each primitive (SIMPLIFIED): vertices are clustered on a grid whose cell grows
     until at most ratio of the triangles remain, and a cluster keeps its vertex nearest to its mean.
 
     error is the longest move of a vertex, per diagonal. A primitive of which nothing is left gives one row with ti -1
-    and no corner. Vertex clustering is chosen for the contract (ratio and error bound), not for equal bytes. A
-    primitive's vertices and triangles are one group; primitives are bounded by the tiling that comes first."""
-    import numpy as np
-    import pandas as pd
-
+    and no corner. Vertex clustering is chosen for the contract (ratio and error bound), not for equal bytes.
+    Primitives pass in the order of their ids, many at a time; a primitive's own rows are held together, and
+    primitives are bounded by the tiling that comes first."""
     from scenespark.session import prepare
 
     prepare(triangles.sparkSession)
-
-    def run(key: tuple, tri: pd.DataFrame, ver: pd.DataFrame) -> pd.DataFrame:
-        ver = ver.sort_values("vi")
-        names = ver["vi"].to_numpy()
-        t = np.searchsorted(names, tri.sort_values("ti")[["i0", "i1", "i2"]].to_numpy()).reshape(-1, 3)
-        p = ver[["x", "y", "z"]].to_numpy()
-        low, span = p.min(0) if len(p) else 0, float(np.linalg.norm(p.max(0) - p.min(0))) if len(p) else 0.0
-        left, error, cells = t, 0.0, 1024
-        while len(left) > ratio * len(t) and cells >= 1 and span > 0:
-            _, cell = np.unique(np.floor((p - low) / (span / cells)).astype(np.int64), axis=0, return_inverse=True)
-            cell = cell.reshape(-1)
-            mean = np.stack([np.bincount(cell, weights=p[:, k]) / np.bincount(cell) for k in range(3)], 1)
-            order = np.lexsort((np.arange(len(p)), np.linalg.norm(p - mean[cell], axis=1), cell))
-            kept = order[np.unique(cell[order], return_index=True)[1]][cell]
-            q = kept[t]
-            left = q[(q[:, 0] != q[:, 1]) & (q[:, 1] != q[:, 2]) & (q[:, 0] != q[:, 2])]
-            error = float(np.linalg.norm(p - p[kept], axis=1).max() / span)
-            cells //= 2
-        rows = names[left] if len(left) else np.full((1, 3), -1)
-        out = pd.DataFrame({"prim_id": int(key[0]), "ti": np.arange(len(rows)) if len(left) else [-1], "i0": rows[:, 0], "i1": rows[:, 1], "i2": rows[:, 2]})
-        return out.assign(error=error, before=len(t), diagonal=span)
-
-    return triangles.groupBy("prim_id").cogroup(vertices.groupBy("prim_id")).applyInPandas(run, SIMPLIFIED)
+    long, double = (lambda c: F.col(c).cast("long")), (lambda c: F.col(c).cast("double"))
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    v = vertices.select(long("prim_id").alias("prim_id"), none("long", "ti"), long("vi").alias("i0"), none("long", "i1"), none("long", "i2"), *[double(a).alias(a) for a in "xyz"])
+    t = triangles.select(long("prim_id").alias("prim_id"), F.coalesce(long("ti"), F.lit(0).cast("long")).alias("ti"), *[long(c).alias(c) for c in ("i0", "i1", "i2")], *[none("double", a) for a in "xyz"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            # the last primitive may go on in the next batch
+            if size >= TOGETHER and held[0].column(0)[0] != batch.column(0)[-1]:
+                rows = pa.Table.from_batches(held)
+                last = pc.equal(batch.column(0), batch.column(0)[-1]).fill_null(False).to_numpy(zero_copy_only=False)
+                begins = int(np.argmax(last)) if batch.column(0)[-1].is_valid else 0
+                cut = size - batch.num_rows + begins
+                if begins == 0:  # the whole batch is one primitive, which may begin before it
+                    own = rows.column("prim_id")
+                    while cut and own[cut - 1] == batch.column(0)[-1]:
+                        cut -= 1
+                yield _simplified(rows.slice(0, cut), ratio)
+                held, size = rows.slice(cut).to_batches(), size - cut
+        if held:
+            yield _simplified(pa.Table.from_batches(held), ratio)
+
+    return v.unionByName(t).repartition("prim_id").sortWithinPartitions("prim_id").mapInArrow(run, SIMPLIFIED)
 
 
 def simplify(triangles: DataFrame, vertices: DataFrame, ratio: float) -> DataFrame:

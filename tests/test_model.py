@@ -137,3 +137,26 @@ def test_rounding_as_the_oracle(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
     got = [r[0] for r in df.orderBy("i").select(rounded(F.col("v"))).collect()]
     assert got == [duckdb.sql(f"SELECT round({'NULL' if v is None else repr(v)}::DOUBLE, 6)").fetchall()[0][0] for v in values]
+
+
+def test_primitives_are_simplified_together(spark, monkeypatch):
+    """Small batches cut between primitives, and each is simplified as by itself; one has no triangle, one no extent."""
+    monkeypatch.setattr(mesh, "TOGETHER", 40)
+    rnd = random.Random(4)
+    sizes = {3: 60, 5: 7, 8: 30, 9: 2, 12: 300, 13: 9, 20: 45}
+    v = [(k, i, float(rnd.randrange(50)) if k != 13 else 1.0, rnd.random() * 90, 1.0) if k != 13 else (k, i, 1.0, 1.0, 1.0) for k, n in sizes.items() for i in range(n)]
+    t = [(k, i // 3, i, i + 1, i + 2) for k, n in sizes.items() for i in range(0, n - 2, 3)]
+    frames = lambda vs, ts: (spark.createDataFrame(ts, "prim_id long, ti long, i0 long, i1 long, i2 long").coalesce(1), spark.createDataFrame(vs, "prim_id long, vi long, x double, y double, z double"))
+    df = mesh.simplified(*frames(v, t), 0.5)
+    assert "CoGroup" not in df._jdf.queryExecution().toString()  # a Python call for each primitive
+    rows = df.collect()
+    for k in sizes:
+        got = sorted(tuple(r) for r in rows if r.prim_id == k)
+        of, p = np.zeros(sizes[k], int), np.array([r[2:] for r in v if r[0] == k])
+        own = np.array([r[2:] for r in t if r[0] == k], int).reshape(-1, 3)
+        q, left, error, span = mesh.clustered(of, p, np.zeros(len(own), int), own, 1, 0.5)
+        want = [(k, i, *map(int, c), error[0], len(own), span[0]) for i, c in enumerate(q[left])] or [(k, -1, -1, -1, -1, error[0], len(own), span[0])]
+        assert got == want
+    assert [r.ti for r in rows if r.prim_id == 9] == [-1] and sum(r.prim_id == 13 for r in rows) == 3
+    with pytest.raises(Exception, match="corner that is not among"):
+        mesh.simplified(*frames(v[:3], [(3, 0, 0, 1, 7)]), 0.5).collect()
