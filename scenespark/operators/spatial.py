@@ -185,24 +185,57 @@ def kd_tree(objects: DataFrame, levels: int, max_triangles: int = 200_000, max_d
             return out
 
 
-def first_tile_of(instances: DataFrame, tiles: DataFrame) -> DataFrame:
-    """instance_id and the first tile (by preorder) whose box holds the instance's centre; null if none.
+#: Tiles of the first round of ``first_tile_of``, and how many times more each later round takes.
+FIRST_TILES, MORE_TILES = 1024, 8
+
+
+def _first_hits(points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """cx, cy, cz and the least (preorder, tile_id) as first of the tiles that hold the point, where there is one.
 
     A range join over grids of several levels: a tile's box enters the grid whose cells are as long as the box or up
-    to twice that, so it meets at most eight cells, and an instance is looked up once in every level that some tile
-    has (a short list, from the exponents of their extents). The exact test follows."""
+    to twice that, so it meets at most eight cells, and a point is looked up once in every level that some tile has
+    (a short list, from the exponents of their extents). The exact test follows."""
     longest = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in AXES])
     leveled = tiles.withColumn("grid", F.when(longest > 0, F.ceil(F.log2(longest))).otherwise(0).cast("int"))
     levels = sorted(r[0] for r in leveled.select("grid").distinct().collect())
-    if not levels:
-        return instances.select("instance_id", F.lit(None).cast("long").alias("tile_id"))
     cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("grid"))).cast("long")
     for a in AXES:
         leveled = leveled.select("*", F.explode(F.sequence(cell(F.col(f"min_{a}")), cell(F.col(f"max_{a}")))).alias(f"g{a}"))
-    keyed = instances.select("*", F.explode(F.array(*map(F.lit, levels))).alias("grid"))
+    keyed = points.select("*", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("grid"))
     keyed = keyed.select("*", *[cell(F.col(f"c{a}")).alias(f"g{a}") for a in AXES])
-    hits = keyed.join(leveled, ["grid", *[f"g{a}" for a in AXES]]).filter(centre_in("")).groupBy("instance_id").agg(F.min_by("tile_id", "preorder").alias("tile_id"))
-    return instances.select("instance_id").join(hits, "instance_id", "left")
+    hits = keyed.join(leveled, ["grid", *[f"g{a}" for a in AXES]]).filter(centre_in(""))
+    return hits.groupBy(*[f"c{a}" for a in AXES]).agg(F.min(F.struct("preorder", "tile_id")).alias("first"))
+
+
+def first_tile_of(instances: DataFrame, tiles: DataFrame) -> DataFrame:
+    """instance_id and the first tile (by preorder, then tile_id) whose box holds the instance's centre; null if none.
+
+    Equal centres are looked up once, and of tiles with equal boxes only the first can be the answer. The tiles come
+    in rounds by preorder, each MORE_TILES times as many as all before, and centres that found a tile leave after
+    their round, since later tiles come after it: where many tiles overlap, few of them meet a centre. The rounds are
+    cut at quantiles; where these fall decides about time only."""
+    boxes = [f"{n}_{a}" for a in AXES for n in ("min", "max")]
+    centre = [f"c{a}" for a in AXES]
+    first = cut(tiles.filter("preorder IS NOT NULL").groupBy(*boxes).agg(F.min(F.struct("preorder", "tile_id")).alias("t")).select(*boxes, "t.*"))
+    n = first.count()
+    shares = []
+    while n > FIRST_TILES * MORE_TILES ** len(shares):
+        shares.append(FIRST_TILES * MORE_TILES ** len(shares) / n)
+    ends = sorted(set(first.agg(F.percentile_approx("preorder", shares, 100_000)).first()[0])) if shares else []
+    points, found = cut(instances.select(*centre).distinct()), None
+    for low, high in zip([None, *ends], [*ends, None]) if n else ():
+        some = first if low is None else first.filter(F.col("preorder") > low)
+        some = some if high is None else some.filter(F.col("preorder") <= high)
+        hits = cut(_first_hits(points, some))
+        found = hits if found is None else found.unionByName(hits)
+        if high is None:
+            break
+        points = cut(points.join(hits, centre, "left_anti"))
+        if points.isEmpty():
+            break
+    if found is None:
+        return instances.select("instance_id", F.lit(None).cast("long").alias("tile_id"))
+    return instances.join(found, centre, "left").select("instance_id", F.col("first.tile_id").alias("tile_id"))
 
 
 def instances(objects: DataFrame, content: tuple[str, ...], least: int = 2) -> DataFrame:

@@ -160,3 +160,20 @@ def test_primitives_are_simplified_together(spark, monkeypatch):
     assert [r.ti for r in rows if r.prim_id == 9] == [-1] and sum(r.prim_id == 13 for r in rows) == 3
     with pytest.raises(Exception, match="corner that is not among"):
         mesh.simplified(*frames(v[:3], [(3, 0, 0, 1, 7)]), 0.5).collect()
+
+
+def test_first_tile_in_rounds(spark, monkeypatch):
+    """Centres that found a tile leave after the round; equal centres, boxes and preorders."""
+    monkeypatch.setattr(spatial, "FIRST_TILES", 4)
+    monkeypatch.setattr(spatial, "MORE_TILES", 2)
+    met, inner = [], spatial._first_hits
+    monkeypatch.setattr(spatial, "_first_hits", lambda p, t: (met.append((p.count(), t.count())), inner(p, t))[1])
+    rnd = random.Random(6)
+    pts = [(i, float(i % 26), 1.0, 2.0) for i in range(78)]
+    boxes = [(i, (i * 7 % 40) // 2, *[v + s * 4.0 for v in (float(rnd.randrange(16)), 1.0, 2.0 + i % 9) for s in (-1, 1)]) for i in range(40)]
+    cols = ", ".join(f"{n}_{a} double" for a in "xyz" for n in ("min", "max"))
+    got = {r.instance_id: r.tile_id for r in spatial.first_tile_of(spark.createDataFrame(pts, "instance_id long, cx double, cy double, cz double"), spark.createDataFrame(boxes, f"tile_id long, preorder long, {cols}")).collect()}
+    for i, x, y, z in pts:
+        inside = [(p, t) for t, p, a, b, c, d, e, f in boxes if a <= x <= b and c <= y <= d and e <= z <= f]
+        assert got[i] == (min(inside)[1] if inside else None)
+    assert None in got.values() and len(met) > 2 and met[0][0] == 26 and met[-1][0] < 20
