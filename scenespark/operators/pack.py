@@ -3,29 +3,45 @@ atlases are bounded in size, so a group is the images of one key, packed into as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenespark.session import prepare
 
 
 def greedy_fill(images: DataFrame, by: tuple[str, ...], area: int) -> DataFrame:
     """by, image_id, atlas: images (w, h) in order of height and width go into the open atlas while its area
-    lasts; what does not fit opens the next one. Images larger than the area get no atlas (null)."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("h")).alias("nh"), (-F.col("w")).alias("nw"), F.col("image_id"))))
-    start = F.struct(F.lit(0).alias("atlas"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<image_id:bigint,atlas:int>>").alias("out"))
-
-    def step(s, x):
-        size = (x["nh"] * x["nw"]).cast("long")
-        too_big, fits = size > area, s["used"] + size <= area
-        atlas = F.when(fits, s["atlas"]).otherwise(s["atlas"] + 1)
-        placed = F.struct(F.when(too_big, F.lit(None).cast("int")).otherwise(atlas).alias("atlas"))
-        item = F.array(F.struct(x["image_id"].alias("image_id"), placed["atlas"].alias("atlas")))
-        return F.when(too_big, F.struct(s["atlas"].alias("atlas"), s["used"].alias("used"), F.concat(s["out"], item).alias("out"))).otherwise(F.struct(atlas.alias("atlas"), F.when(fits, s["used"] + size).otherwise(size).alias("used"), F.concat(s["out"], item).alias("out")))
-
-    folded = images.groupBy(*by).agg(rows.alias("rows")).select(*by, F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("p"))
-    return folded.select(*by, "p.image_id", "p.atlas")
+    lasts; what does not fit opens the next one. Images larger than the area, or of unknown size, get no atlas (null).
+
+    One pass over the sorted images of a key, of which only the open atlas is remembered: a key may have any number
+    of images, and their time is in proportion."""
+    prepare(images.sparkSession)
+    schema = T.StructType([*[images.schema[c] for c in by], T.StructField("image_id", T.LongType()), T.StructField("atlas", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, atlas, used = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*[batch.column(k).to_pylist() for k in range(len(by))])) if by else [()] * batch.num_rows
+            out = []
+            for own, w, h in zip(keys, batch.column("w").to_pylist(), batch.column("h").to_pylist()):
+                if own != key:
+                    key, atlas, used = own, 0, 0
+                if w is None or h is None or w * h > area:
+                    out.append(None)
+                    continue
+                atlas, used = (atlas, used + w * h) if used + w * h <= area else (atlas + 1, w * h)
+                out.append(atlas)
+            columns = [batch.column(k) for k in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("image_id"), pa.array(out, pa.int32())], schema.names)
+
+    rows = images.select(*by, F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("long").alias(c) for c in "wh"])
+    placed = rows.repartition(*by) if by else rows.repartition(1)
+    return placed.sortWithinPartitions(*by, F.desc("h"), F.desc("w"), "image_id").mapInArrow(run, schema)
 
 
 PACKED = "atlas_key long, image_id long, atlas int, x int, y int, w int, h int"
