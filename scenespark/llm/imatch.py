@@ -24,10 +24,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scenespark.functions.linalg import let
 from scenespark.session import cut
 
 #: The band: a term is kept if it occurs in a share of all documents within these limits.
@@ -35,7 +38,7 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.02
 #: Seeds, and the sub-lexicons of each: the first is the whole lexicon, the next has every second term and so on,
 #: SLICE times.
 SEEDS, SLICE, SLICES = 16, 14, 4
-#: Terms of a lexicon that is broadcast (8 bytes each); a larger one is joined by a shuffle.
+#: Terms of a lexicon that is broadcast (16 bytes each); a larger one is joined by a shuffle.
 BROADCAST_TERMS = 2_000_000
 #: Documents of a range of doc_id, and the most ranges.
 RANGE_DOCS, MOST_RANGES = 500, 16_384
@@ -66,17 +69,51 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, mos
     return found, found.count()
 
 
-def fingerprint_of(terms: Column) -> Column:
-    """The fingerprint of a sorted array of lexicon terms."""
+def marks(h: Column) -> Column:
+    """A term's depth in the sub-lexicons of each seed, as the power of two that ``_depth`` is: 4 bits a seed."""
+    fours = [F.shiftleft(F.length(F.bin(_depth(h, s))).cast("long") - 1, 4 * s) for s in range(SEEDS)]
+    return reduce(Column.bitwiseOR, fours)
+
+
+def spread(known: Column) -> list[Column]:
+    """The depths of a term's marks as single bits, SLICES seeds to a number: those of several terms can be joined by OR."""
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(known, 4 * s).bitwiseAND(15).cast("int") + (SLICE + 1) * (s % SLICES))
+    return [reduce(Column.bitwiseOR, [bit(s) for s in range(k, min(SEEDS, k + SLICES))]) for k in range(0, SEEDS, SLICES)]
+
+
+def _greatest(bits: list[Column]) -> Column:
+    """The greatest depth of each seed, 4 bits a seed, of joined ``spread`` bits."""
+    one = lambda s: F.shiftrightunsigned(bits[s // SLICES], (SLICE + 1) * (s % SLICES)).bitwiseAND((2 << SLICE) - 1)
+    return reduce(Column.bitwiseOR, [F.shiftleft(F.length(F.bin(one(s))).cast("long") - 1, 4 * s) for s in range(SEEDS)])
+
+
+def _fingerprint(terms: Column, bits: list[Column]) -> Column:
+    """The fingerprint of an array of lexicon terms (h, marks) in any order; bits: their joined ``spread``.
 
-    def part(seed: int) -> Column:
-        rows = F.transform(terms, lambda h: F.struct(_depth(h, seed).alias("d"), h.alias("h")))
-        # rows of the greatest depth keep the terms' order
-        deepest = F.aggregate(rows, F.lit(0).cast("long"), lambda m, r: F.greatest(m, r["d"]))
-        own = F.element_at(F.transform(F.array(F.struct(rows.alias("r"), deepest.alias("m"))), lambda x: F.transform(F.filter(x["r"], lambda r: r["d"] == x["m"]), lambda r: r["h"])), 1)
+    Only the terms that are deepest for a seed are looked at for each seed; there are few."""
+    ones = int("1" * 16, 16)
+
+    def deepest(top: Column) -> Column:
+        rows = F.transform(terms, lambda r: F.struct(r["h"].alias("h"), r["marks"].bitwiseXOR(top).alias("x")))
+        any_bit = lambda x: reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, k) for k in (1, 2, 3)], x)
+        return F.array_sort(F.filter(rows, lambda r: any_bit(r["x"]).bitwiseAND(ones) != ones))
+
+    def part(rows: Column, seed: int) -> Column:
+        own = F.transform(F.filter(rows, lambda r: F.shiftrightunsigned(r["x"], 4 * seed).bitwiseAND(15) == 0), lambda r: r["h"])
         return F.lower(F.lpad(F.hex(F.xxhash64(own)), 16, "0"))
 
-    return F.when(F.size(terms) > 0, F.concat_ws(".", *[part(s) for s in range(SEEDS)])).otherwise(F.lit(".".join("-" * SEEDS)))
+    found = let(let(_greatest(bits), deepest), lambda rows: F.concat_ws(".", *[part(rows, s) for s in range(SEEDS)]))
+    return F.when(F.size(terms) > 0, found).otherwise(F.lit(".".join("-" * SEEDS)))
+
+
+def fingerprint_of(terms: Column) -> Column:
+    """The fingerprint of an array of lexicon terms."""
+
+    def whole(rows: Column) -> Column:
+        joined = lambda k: F.aggregate(rows, F.lit(0).cast("long"), lambda m, r: m.bitwiseOR(spread(r["marks"])[k]))
+        return _fingerprint(rows, [joined(k) for k in range(-(-SEEDS // SLICES))])
+
+    return let(F.transform(terms, lambda h: F.struct(h.alias("h"), marks(h).alias("marks"))), whole)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -144,15 +181,18 @@ def imatch_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marker = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("of")))
     terms = rows.select("bucket", "at", "copy", head.alias("head"), F.explode(F.concat(marker, tagged(own, 1), tagged(changed, 2))).alias("x"))
     terms = terms.select("bucket", "at", "copy", F.when(F.col("x.of") == 0, F.col("head")).alias("head"), F.col("x.h").alias("h"), F.col("x.of").alias("of"))
-    known = words.withColumn("known", F.lit(True))
-    kept = terms.join(F.broadcast(known) if size <= BROADCAST_TERMS else known, "h", "left").filter("known OR of = 0")
+    known = words.withColumn("marks", marks(F.col("h")))
+    kept = terms.join(F.broadcast(known) if size <= BROADCAST_TERMS else known, "h", "left").filter("marks IS NOT NULL OR of = 0")
+    bits = spread(F.col("marks"))
+    kept = kept.select("bucket", "at", "copy", "head", "of", F.struct("h", "marks").alias("term"), *[x.alias(f"bits{k}") for k, x in enumerate(bits)])
     by_doc = kept.groupBy("bucket", "at").agg(
         F.max("copy").alias("copy"),
         F.max("head").alias("head"),
-        F.array_sort(F.collect_list(F.when(F.col("of") == 1, F.col("h")))).alias("own"),
-        F.array_sort(F.collect_list(F.when(F.col("of") == 2, F.col("h")))).alias("changed"),
+        *[F.collect_list(F.when(F.col("of") == i, F.col("term"))).alias(name) for i, name in ((1, "own"), (2, "changed"))],
+        *[F.bit_or(F.when(F.col("of") == i, F.col(f"bits{k}"))).alias(f"{name}{k}") for i, name in ((1, "own"), (2, "changed")) for k in range(len(bits))],
     )
-    prints = by_doc.select("bucket", "at", "copy", "head", fingerprint_of(F.col("own")).alias("fingerprint"), fingerprint_of(F.col("changed")).alias("edited_fingerprint"))
+    of = lambda name: _fingerprint(F.col(name), [F.col(f"{name}{k}") for k in range(len(bits))])
+    prints = by_doc.select("bucket", "at", "copy", "head", of("own").alias("fingerprint"), of("changed").alias("edited_fingerprint"))
     after = prints.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("at"))).filter("copy = 0")
     return after.select(
         "head.doc_id",

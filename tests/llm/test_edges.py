@@ -163,6 +163,20 @@ def test_lexicon_counts_every_term(spark):
     assert size == 120 and {r[0] for r in words.collect()} == want
 
 
+def test_fingerprint_from_marks(spark):
+    df = spark.createDataFrame([(i, f"w{i}") for i in range(3000)], "i long, w string").select("i", F.xxhash64("w").alias("h"))
+    depths = [imatch._depth(F.col("h"), s).alias(f"d{s}") for s in range(imatch.SEEDS)]
+    rows = df.select("i", "h", imatch.marks(F.col("h")).alias("marks"), *depths).withColumn("bits", F.array(*imatch.spread(F.col("marks")))).collect()
+    for r in rows:
+        assert all(1 << (r.marks >> 4 * s & 15) == r[f"d{s}"] for s in range(imatch.SEEDS))
+        assert all(r.bits[s // 4] >> 15 * (s % 4) & 0x7FFF == r[f"d{s}"] for s in range(imatch.SEEDS))
+    texts = [rows[k : k + n] for n in (1, 2, 7, 100) for k in range(0, 300, 100)]
+    parts = [(i, s, sorted(r.h for r in t if r[f"d{s}"] == max(x[f"d{s}"] for x in t))) for i, t in enumerate(texts) for s in range(imatch.SEEDS)]
+    hashed = {(r.i, r.s): r.p for r in spark.createDataFrame(parts, "i int, s int, own array<long>").select("i", "s", F.lower(F.lpad(F.hex(F.xxhash64("own")), 16, "0")).alias("p")).collect()}
+    got = spark.createDataFrame([(i, [r.h for r in t]) for i, t in enumerate(texts)], "i int, t array<long>").select("i", imatch.fingerprint_of(F.col("t")).alias("f")).collect()
+    assert {r.i: r.f for r in got} == {i: ".".join(hashed[i, s] for s in range(imatch.SEEDS)) for i in range(len(texts))}
+
+
 # --- op4
 
 
