@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from scenespark.llm import crf
 from scenespark.llm.sampling import held_out, labelled_sample, lower, portions
-from scenespark.session import prepare
+from scenespark.session import apart, prepare
 
 WORD = re.compile(r"\w+")
 
@@ -166,7 +166,7 @@ def fit(sample: list[tuple[int, str]]) -> Model | None:
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fits on at most SAMPLE_DOCS documents by label that are not held out."""
     labels = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1))
-    return fit(labelled_sample(docs, "toxic", SAMPLE_DOCS, labels))
+    return apart(fit, labelled_sample(docs, "toxic", SAMPLE_DOCS, labels))
 
 
 SPANS = "array<struct<start:int,end:int,p:double>>"

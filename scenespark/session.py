@@ -3,9 +3,13 @@ a shared folder for cutting lineage, and table loading."""
 
 from __future__ import annotations
 
+import gc
+import multiprocessing
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.connection import Connection
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,5 +75,43 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage: Spark then deletes shuffle files and broadcasts that nothing reads any
+    more, and the JVM returns what the heap has grown by over many short jobs. Frames in use lose nothing."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def apart(f: Callable, *args):
+    """f(*args), computed in a forked process, so that the driver keeps its result only and none of its memory.
+
+    f must not use Spark. Without fork it runs here."""
+    if "fork" not in multiprocessing.get_all_start_methods():
+        return f(*args)
+
+    def run(to: Connection) -> None:
+        gc.disable()  # collecting the parent's handles of JVM objects would talk over its connection
+        try:
+            to.send((True, f(*args)))
+        except Exception as e:
+            to.send((False, repr(e)))
+
+    fork = multiprocessing.get_context("fork")
+    ours, theirs = fork.Pipe(duplex=False)
+    child = fork.Process(target=run, args=(theirs,))
+    child.start()
+    theirs.close()
+    try:
+        done, out = ours.recv()
+    except EOFError:
+        done, out = False, "its process ended early"
+    finally:
+        ours.close()
+        child.join()
+    if not done:
+        raise RuntimeError(f"{f.__name__}: {out}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

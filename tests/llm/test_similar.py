@@ -1,13 +1,15 @@
 """Near-duplicate removal of the pipeline against exact shingle similarity."""
 
 import itertools
+import os
 import random
 
 import pytest
 
 pytest.importorskip("scenespark.llm")
 
-from scenespark.llm import similar
+from scenespark import session
+from scenespark.llm import similar, toxicity
 
 
 def naive_set(text):
@@ -72,3 +74,21 @@ def test_stage(spark):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     got = {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()}
     assert got == naive_keep(texts)
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """The model is fitted in another process, and the driver's heap is collected between the steps of near_dedup."""
+    monkeypatch.setattr(toxicity, "labelled_sample", lambda *a: [])
+    monkeypatch.setattr(toxicity, "fit", lambda sample: (os.getpid(), sample))
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    pid, sample = toxicity.train(None, labels)
+    assert pid != os.getpid() and sample == []
+    with pytest.raises(RuntimeError, match="ZeroDivisionError"):
+        session.apart(lambda: 1 // 0)
+    with pytest.raises(RuntimeError, match="ended early"):
+        session.apart(lambda: os._exit(3))
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs, before = spark.createDataFrame([(i, f"a b c d e f {i // 2}") for i in range(6)], "doc_id long, text string"), count()
+    assert {r.doc_id for r in similar.drop_similar(spark, docs).collect()} == {0, 2, 4}
+    assert count() - before >= 5
